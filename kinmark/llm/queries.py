@@ -47,6 +47,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_strings(table(spark, sf_dir, "pair_links"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .variants import link_variants
+
+    return link_variants(table(spark, sf_dir, "matcher"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .copies import copies_found
 
@@ -59,7 +65,13 @@ def p6_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapsed(table(spark, sf_dir, "matcher")).select("keep_id", "norm", "copies", "total")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_values, p1_sources, p2_found, p2_skeletons, p3_found, p6_found, p6_collapsed)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import neighbour_pairs
+
+    return neighbour_pairs(table(spark, sf_dir, "stored_vectors"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_values, p1_sources, p2_found, p2_skeletons, p3_found, p5_found, p6_found, p6_collapsed, p7_found)}
 
 SQL: dict[str, str] = {
     "p1_found": """
