@@ -47,6 +47,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_strings(table(spark, sf_dir, "pair_links"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .splits import related_pairs
+
+    return related_pairs(table(spark, sf_dir, "matcher"))
+
+
+def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .splits import grouped_splits
+
+    return grouped_splits(table(spark, sf_dir, "matcher"), table(spark, sf_dir, "split_shares")).select("row_id", "split")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .variants import link_variants
 
@@ -71,7 +83,36 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_pairs(table(spark, sf_dir, "stored_vectors"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_values, p1_sources, p2_found, p2_skeletons, p3_found, p5_found, p6_found, p6_collapsed, p7_found)}
+def p8_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .boxes import filled_boxes
+
+    return filled_boxes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "box_sizes"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .boxes import box_report, filled_boxes
+
+    sizes = table(spark, sf_dir, "box_sizes")
+    return box_report(filled_boxes(table(spark, sf_dir, "documents"), sizes), sizes)
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixture import mixed_documents
+
+    return mixed_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixture import mix_report, mixed_documents
+
+    targets = table(spark, sf_dir, "mix_targets")
+    return mix_report(mixed_documents(table(spark, sf_dir, "documents"), targets), targets)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    p1_found, p1_values, p1_sources, p2_found, p2_skeletons, p3_found, p4_found, p4_splits, p5_found, p6_found, p6_collapsed, p7_found,
+    p8_boxes, p8_report, p9_mix, p9_report,
+)}
 
 SQL: dict[str, str] = {
     "p1_found": """
