@@ -109,9 +109,15 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(mixed_documents(table(spark, sf_dir, "documents"), targets), targets)
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentences import sentences
+
+    return sentences(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     p1_found, p1_values, p1_sources, p2_found, p2_skeletons, p3_found, p4_found, p4_splits, p5_found, p6_found, p6_collapsed, p7_found,
-    p8_boxes, p8_report, p9_mix, p9_report,
+    p8_boxes, p8_report, p9_mix, p9_report, p10_found,
 )}
 
 SQL: dict[str, str] = {
