@@ -141,11 +141,13 @@ def plain(text: str) -> str:
 
 
 def _over(fn):
+    """fn over the strings of an Arrow column that have a character beyond ASCII; the rest of the column isn't touched."""
+
     def run(column: pa.Array) -> pa.Array:
-        simple = pc.string_is_ascii(column)
-        if pc.all(pc.fill_null(simple, True)).as_py() in (True, None):
+        odd = pc.fill_null(pc.invert(pc.string_is_ascii(column)), False)
+        if not pc.any(odd, min_count=0).as_py():
             return column
-        return pa.array([s if s is None or s.isascii() else fn(s) for s in column.to_pylist()], pa.string())
+        return pc.replace_with_mask(column, odd, pa.array([fn(s) for s in column.filter(odd).to_pylist()], column.type))
 
     return run
 
