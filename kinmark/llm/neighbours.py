@@ -8,6 +8,8 @@ into the next nearest ones; cosines there are exact, and the best of all tables
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -222,25 +224,28 @@ def nearest_vectors(df: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col:
     kinds = scratch.write(every.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"))
     copies = scratch.write(join_unique(every.select("id", "key"), kinds, ["key"], "copies").select("id", "rep", "copies"))
     vectors = every.select("id", "u").join(copies.where("id != rep").select("id"), "id", "left_anti")
-    if not copies.isEmpty():
-        vectors = scratch.write(vectors)
+    vectors = scratch.write(vectors)
+    scratch.drop(every, kinds)
     total = vectors.count()
-    found = None
+    found = []
     for t in range(tables if total else 0):
-        one = scratch.write(table_neighbours(vectors, t, total, k))
+        found.append(scratch.write(table_neighbours(vectors, t, total, k)))
         scratch.drop()
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return every.select(F.col("id").alias(id_col), F.array("id").alias("near")).where("false")
+    if not found:
+        return vectors.select(F.col("id").alias(id_col), F.array("id").alias("near")).where("false")
+    scratch.drop(vectors)
     best = W.partitionBy("q").orderBy(F.desc("cos"), "n")
-    top = found.repartition("q").dropDuplicates(["q", "n"]).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    every = reduce(DataFrame.unionByName, found)
+    top = every.repartition("q").dropDuplicates(["q", "n"]).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    top = scratch.write(top)
+    scratch.drop(*found)
     # a neighbour stands for all vectors of its direction; of them the k + 1 smallest ids can matter
     first = copies.withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1).select("rep", "id")
     stands = first.groupBy("rep").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     spread = top.join(stands.withColumnRenamed("rep", "n"), "n", "left").select("q", F.explode(F.coalesce("ids", F.array("n"))).alias("n"), "cos")
     spread = spread.unionByName(first.select(F.col("rep").alias("q"), F.col("id").alias("n"), F.lit(2.0).cast("float").alias("cos")))
     near = spread.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("cos")).alias("far"), "n"))).alias("l"))
-    near = near.select("q", F.transform(F.slice("l", 1, 2 * k + 2), lambda x: x["n"]).alias("l"))
+    near = scratch.write(near.select("q", F.transform(F.slice("l", 1, 2 * k + 2), lambda x: x["n"]).alias("l")))
     alone = near.join(copies.select(F.col("rep").alias("q")).distinct(), "q", "left_anti").select(F.col("q").alias("id"), "l")
     sizes = copies.select(F.col("rep").alias("q"), "copies").distinct()
     doubled = join_unique(copies.select("id", F.col("rep").alias("q")), near.join(sizes, "q"), ["q"], "copies").select("id", "l")
