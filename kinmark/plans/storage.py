@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,5 +55,7 @@ class Scratch:
 
 def release(spark: SparkSession) -> None:
     """Shuffle files live until the driver collects their handles; iterative jobs ask for that between rounds."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first pass frees the plans, the second what only they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.15)
