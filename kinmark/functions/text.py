@@ -35,7 +35,7 @@ def ngrams(string: Column | str, n: int = 3) -> Column:
     """Distinct character n-grams; a shorter string is its own only one. Null stays null."""
     s = F.col(string) if isinstance(string, str) else string
     places = F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1)))
-    return F.array_distinct(F.transform(places, lambda i: F.substring(s, i, F.lit(n))))
+    return F.when(s.isNotNull(), F.array_distinct(F.transform(places, lambda i: F.substring(s, i, F.lit(n)))))
 
 
 def words(string: Column | str) -> Column:

@@ -29,7 +29,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """
     spark = links.sparkSession
     scratch = Scratch(spark)
-    pairs = links.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"))
+    pairs = scratch.write(links.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).distinct())
     for seed in range(SEEDS):
         named = lambda c: F.xxhash64(F.col(c), F.lit(seed))  # noqa: B023, E731
         members = pairs.select(F.explode(F.array("a", "b")).alias("member")).where("member is not null").distinct()

@@ -26,31 +26,35 @@ def _joined(predicted: DataFrame, gold: DataFrame, use_counts: bool) -> DataFram
 
 def confusion_rows(predicted: DataFrame, gold: DataFrame, use_counts: bool = True) -> DataFrame:
     """(string, count, group_pred, group_gold, TP, FP, FN, TN) of each string in both: its pairs with all others, counts being copies.
+    The four are DECIMAL(38,0), as squares of counts pass the range of a BIGINT.
 
     Sums come from aggregates joined back, a hot group's by broadcast, so no window holds it.
     """
-    rows = _joined(predicted, gold, use_counts)
-    cells = rows.groupBy("group_pred", "group_gold").agg(F.sum("c").alias("npg"), F.count("*").alias("k"))
+    scratch = Scratch(predicted.sparkSession)
+    rows = scratch.write(_joined(predicted, gold, use_counts))
+    cells = scratch.write(rows.groupBy("group_pred", "group_gold").agg(F.sum("c").alias("npg"), F.count("*").alias("k")))
     left = cells.groupBy("group_pred").agg(F.sum("npg").alias("np"), F.sum("k").alias("kp"))
     right = cells.groupBy("group_gold").agg(F.sum("npg").alias("ng"), F.sum("k").alias("kg"))
     total = rows.agg(F.sum("c").alias("n"))
-    each = join_unique(rows, cells, ["group_pred", "group_gold"], "k")
-    each = join_unique(join_unique(each, left, ["group_pred"], "kp"), right, ["group_gold"], "kg").crossJoin(F.broadcast(total))
+    each = rows
+    for sums, keys, k in ((cells, ["group_pred", "group_gold"], "k"), (left, ["group_pred"], "kp"), (right, ["group_gold"], "kg")):
+        each = scratch.write(join_unique(each, sums, keys, k))
+    each = each.crossJoin(F.broadcast(total))  # one row
     own = lambda s: (F.col(s) - F.col("c")) * F.col("c")
     out = each.select("string", F.col("c").alias("count"), "group_pred", "group_gold", own("npg").alias("TP"), (own("np") - own("npg")).alias("FP"), (own("ng") - own("npg")).alias("FN"), (own("n") - own("np") - own("ng") + own("npg")).alias("TN"))
-    return out.select("string", F.col("count").cast("long"), "group_pred", "group_gold", *(F.col(c).cast("long").alias(c) for c in ("TP", "FP", "FN", "TN")))
+    return out.select("string", F.col("count").cast("long"), "group_pred", "group_gold", *(F.col(c).cast(WIDE).alias(c) for c in ("TP", "FP", "FN", "TN")))
 
 
 def confusion_matrix(predicted: DataFrame, gold: DataFrame, use_counts: bool = True) -> DataFrame:
     """(TP, FP, FN, TN) over all unordered pairs, from the sums of cells, rows and columns of the contingency table."""
     rows = _joined(predicted, gold, use_counts)
-    cells = rows.groupBy("group_pred", "group_gold").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    cells = Scratch(predicted.sparkSession).write(rows.groupBy("group_pred", "group_gold").agg(F.sum("c").cast(WIDE).alias("s"), F.sum(F.col("c") * F.col("c")).cast(WIDE).alias("q")))
     square = lambda c: F.coalesce(F.sum(F.col(c) * F.col(c)), F.lit(0)).cast(WIDE)
     a = cells.agg(square("s").alias("pg"), F.coalesce(F.sum("q"), F.lit(0)).cast(WIDE).alias("q"), F.coalesce(F.sum("s"), F.lit(0)).cast(WIDE).alias("n"))
-    b = cells.groupBy("group_pred").agg(F.sum("s").alias("s")).agg(square("s").alias("p"))
-    c = cells.groupBy("group_gold").agg(F.sum("s").alias("s")).agg(square("s").alias("g"))
+    b = cells.groupBy("group_pred").agg(F.sum("s").cast(WIDE).alias("s")).agg(square("s").alias("p"))
+    c = cells.groupBy("group_gold").agg(F.sum("s").cast(WIDE).alias("s")).agg(square("s").alias("g"))
     one = a.crossJoin(b).crossJoin(c)  # three one-row tables
-    half = lambda e: F.expr(f"CAST(({e}) / 2 AS BIGINT)")
+    half = lambda e: F.expr(f"CAST(({e}) / 2 AS DECIMAL(38,0))")
     return one.select(half("pg - q").alias("TP"), half("p - pg").alias("FP"), half("g - pg").alias("FN"), half("n * n - p - g + pg").alias("TN"))
 
 

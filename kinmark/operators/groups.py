@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..plans.skew import join_unique
+from ..plans.storage import Scratch
 from .components import components
 
 SCHEMA = "string string, count long, `group` string"
@@ -174,6 +175,7 @@ def add_strings(matches: DataFrame, more: DataFrame | Iterable[str], string_colu
 def unite_links(matches: DataFrame, links: DataFrame) -> DataFrame:
     """Groups that share a key of links (key, string) become one, transitively; unknown strings and null keys are ignored."""
     touched = links.select(F.col("key").cast("string").alias("key"), "string").where("key is not null").join(matches.select("string", "group"), "string").select("key", "group").distinct()
+    touched = Scratch(matches.sparkSession).write(touched)
     first = touched.groupBy("key").agg(F.min("group").alias("first"), F.count("*").alias("n")).where("n > 1")
     edges = touched.join(first, "key").select("group", "first")
     roots = components(edges, "group", "first").select(F.col("member").alias("group"), "root")

@@ -477,39 +477,51 @@ def _predicted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 PREDICTED = labels(f'SELECT string, "count" AS n, {corp("string")} AS g FROM ({base()})', "g")
 
 
+COUNTS = ("TP", "FP", "FN", "TN")
+
+
+def _text(df: DataFrame, to: str = "string") -> DataFrame:
+    """Whole numbers of 38 digits as text (or as numbers where they fit)."""
+    return df.withColumns({c: F.col(c).cast(to) for c in COUNTS})
+
+
 def _confusion(c: str) -> str:
     rows = f'SELECT p.string, CAST({c} AS HUGEINT) AS c, p."group" AS gp, g."group" AS gg FROM ({PREDICTED}) p JOIN ({base()}) g USING (string)'
-    return f"""SELECT string, CAST(c AS BIGINT) AS "count", gp AS group_pred, gg AS group_gold, CAST((pg - c) * c AS BIGINT) AS TP, CAST((np - pg) * c AS BIGINT) AS FP, CAST((ng - pg) * c AS BIGINT) AS FN, CAST((n - np - ng + pg) * c AS BIGINT) AS TN FROM
+    return f"""SELECT string, CAST(c AS BIGINT) AS "count", gp AS group_pred, gg AS group_gold, CAST((pg - c) * c AS HUGEINT) AS TP, CAST((np - pg) * c AS HUGEINT) AS FP, CAST((ng - pg) * c AS HUGEINT) AS FN, CAST((n - np - ng + pg) * c AS HUGEINT) AS TN FROM
         (SELECT *, sum(c) OVER (PARTITION BY gp, gg) AS pg, sum(c) OVER (PARTITION BY gp) AS np, sum(c) OVER (PARTITION BY gg) AS ng, sum(c) OVER () AS n FROM ({rows}))"""
 
 
 def _matrix(c: str) -> str:
-    return f"SELECT CAST(sum(TP) // 2 AS BIGINT) AS TP, CAST(sum(FP) // 2 AS BIGINT) AS FP, CAST(sum(FN) // 2 AS BIGINT) AS FN, CAST(sum(TN) // 2 AS BIGINT) AS TN FROM ({_confusion(c)})"
+    return f"SELECT sum(TP) // 2 AS TP, sum(FP) // 2 AS FP, sum(FN) // 2 AS FN, sum(TN) // 2 AS TN FROM ({_confusion(c)})"
+
+
+def _as_text(sql: str, more: str = "") -> str:
+    return f"SELECT {more}{', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in COUNTS)} FROM ({sql})"
 
 
-@query(_confusion('p."count"'))
+@query(_as_text(_confusion('p."count"'), 'string, "count", group_pred, group_gold, '))
 def confusion_rows(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.confusion_rows(*_predicted(spark, d))
+    return _text(evaluate.confusion_rows(*_predicted(spark, d)))
 
 
-@query(_matrix('p."count"'))
+@query(_as_text(_matrix('p."count"')))
 def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.confusion_matrix(*_predicted(spark, d))
+    return _text(evaluate.confusion_matrix(*_predicted(spark, d)))
 
 
-@query(_matrix("1"))
+@query(_as_text(_matrix("1")))
 def confusion_matrix_unweighted(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.confusion_matrix(*_predicted(spark, d), use_counts=False)
+    return _text(evaluate.confusion_matrix(*_predicted(spark, d), use_counts=False))
 
 
 def _scores(m: str, predicted: str) -> str:
     return f"""SELECT TP, FP, TN, FN, round((TP + FP + FN + TN) / pairs, 6) AS coverage, round((TP + TN) / (TP + FP + FN + TN), 6) AS accuracy, round(TP / (TP + FP), 6) AS "precision", round(TP / (TP + FN), 6) AS recall, round(2 * TP / (2 * TP + FP + FN), 6) AS F1
-        FROM ({m}), (SELECT (sum("count") * sum("count") - sum("count" * "count")) / 2 AS pairs FROM ({predicted}))"""
+        FROM ({m}), (SELECT (sum(CAST("count" AS HUGEINT)) * sum(CAST("count" AS HUGEINT)) - sum(CAST("count" AS HUGEINT) * "count")) / 2 AS pairs FROM ({predicted}))"""
 
 
-@query(_scores(_matrix('p."count"'), PREDICTED))
+@query(_as_text(_scores(_matrix('p."count"'), PREDICTED), 'coverage, accuracy, "precision", recall, F1, '))
 def score_predicted(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(evaluate.score_predicted(*_predicted(spark, d)), "coverage", "accuracy", "precision", "recall", "F1")
+    return rounded(_text(evaluate.score_predicted(*_predicted(spark, d))), "coverage", "accuracy", "precision", "recall", "F1")
 
 
 @query(f"""WITH m AS ({base()}), o AS (SELECT "group", row_number() OVER (ORDER BY md5('{SEED}:' || "group"), "group") AS r, count(*) OVER () AS n FROM (SELECT DISTINCT "group" FROM m))
@@ -542,7 +554,7 @@ def _sweep_sql() -> str:
 
 @query(_sweep_sql())
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(evaluate.threshold_sweep(units(spark, d), gold(spark, d), STEPS, ALPHA), "coverage", "accuracy", "precision", "recall", "F1")
+    return rounded(_text(evaluate.threshold_sweep(units(spark, d), gold(spark, d), STEPS, ALPHA), "long"), "coverage", "accuracy", "precision", "recall", "F1")
 
 
 @query(f"SELECT arg_min(threshold, {{'a': -F1, 'b': threshold}}) AS threshold, max(F1) AS F1 FROM ({_sweep_sql()})")

@@ -10,10 +10,12 @@ from pyspark.sql import types as T
 
 from ..operators.groups import from_table, to_table
 
+EXACT = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def read_csv(spark: SparkSession, path: str, match_format: str = "detect", count_column: str = "count", **options) -> DataFrame:
     """A group table from CSV with a header. All cells are text, an empty cell is an empty string; counts are numbers."""
-    quoting = {"header": True, "escape": '"', "multiLine": True}
+    quoting = {"header": True, "escape": '"', "multiLine": True} | EXACT
     names = spark.read.options(**quoting).csv(path).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = spark.read.options(**quoting).schema(schema).csv(path)
@@ -24,7 +26,7 @@ def read_csv(spark: SparkSession, path: str, match_format: str = "detect", count
 
 
 def write_csv(matches: DataFrame, path: str, singletons: bool = True) -> None:
-    to_table(matches, singletons, sort=False).write.mode("overwrite").options(header=True, escape='"', quoteAll=True, emptyValue="").csv(path)
+    to_table(matches, singletons, sort=False).write.mode("overwrite").options(header=True, escape='"', quoteAll=True, emptyValue="", **EXACT).csv(path)
 
 
 def save_vectors(vectors: DataFrame, path: str, **parameters: float) -> None:
