@@ -113,13 +113,13 @@ def plain(text: str) -> str:
         for ch in basic:
             if s := script(ch):
                 every[s] = every.get(s, 0) + 1
-        among = set(every)
+        among = {*every, "LATIN"} if len(every) > 1 else set(every)
         surely: dict[str, int] = {}
         for w in words:
             for s, n in _sure(w, among).items():
                 surely[s] = surely.get(s, 0) + n
-        # look-alikes are put in for Latin letters as a rule, so where nothing is sure a mixture with Latin is Latin
-        main = _most(surely) or ("LATIN" if len(every) > 1 and "LATIN" in every else _most(every))
+        # look-alikes are put in for Latin letters as a rule, so where nothing is sure a mixture of scripts is Latin
+        main = _most(surely) or ("LATIN" if len(every) > 1 else _most(every))
 
         def spell(m: re.Match) -> str:
             word = m[0]
