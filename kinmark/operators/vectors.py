@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.scores import dot, l2_normalize, pair_loss, score, score_to_cos, weight
+from ..plans.skew import join_unique
 
 BLOCK = 2048
 
@@ -131,3 +133,126 @@ def hardest_pairs(scored: DataFrame) -> DataFrame:
     ends = scored.select(F.explode(F.array(F.struct(F.col("string0").alias("string"), F.col("string1").alias("other"), "loss"), F.struct(F.col("string1").alias("string"), F.col("string0").alias("other"), "loss"))).alias("e")).select("e.*")
     top = ends.groupBy("string").agg(F.min_by(F.struct("other", "loss"), F.struct(-F.round("loss", 9), F.col("other"))).alias("b"))
     return top.select("string", "b.other", "b.loss")
+
+
+# --- over all pairs, without a table of them ----------------------------------------------------------------------------
+
+
+def _labelled(vectors: DataFrame, matches: DataFrame, *more: str) -> DataFrame:
+    """(string, v, group, more..., b, i, j): the vectors of the strings in matches, once for each pair of blocks they are in."""
+    rows = vectors.select("string", "v").join(matches.select("string", "group", *more), "string")
+    n = _blocks(rows.count())
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("string"), F.lit(n)).cast("int"))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(F.least(F.col("b"), j).alias("i"), F.greatest(F.col("b"), j).alias("j")))
+    return rows.withColumn("g", F.explode(grid)).select("string", "v", "group", *more, "b", "g.i", "g.j")
+
+
+def _square(group: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A pair of blocks, sorted by string: the table, its strings, the rows of either side, their cosines, whether labels agree."""
+    s = np.array(group.column("string").to_pylist(), dtype=object)
+    order = np.argsort(s, kind="stable")
+    group, s = group.take(pa.array(order)), s[order]
+    at_i, i, j = group.column("b").to_numpy() == group.column("i")[0].as_py(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    one, two = np.flatnonzero(at_i), np.flatnonzero(at_i if i == j else ~at_i)
+    u = _matrix(group.column("v"))
+    label = np.unique(np.array(group.column("group").to_pylist(), dtype=object), return_inverse=True)[1]
+    return group, s, one, two, u[one] @ u[two].T if len(one) and len(two) else np.zeros((len(one), len(two))), label[one][:, None] == label[two]
+
+
+def _losses(cos: np.ndarray, same: np.ndarray, alpha: float) -> np.ndarray:
+    z = np.maximum(alpha * (1 - cos), 1e-6)
+    return np.where(same, z, -np.log(-np.expm1(-z)))
+
+
+def hardest_of_all(vectors: DataFrame, matches: DataFrame, alpha: float) -> DataFrame:
+    """(string, other, loss): as hardest_pairs, over all pairs of the vectors whatever their score. Each pair of blocks gives the
+    hardest partner it has for each of its strings, the hardest of these stays. A string without any partner has no row."""
+
+    def hard(group: pa.Table) -> pa.Table:
+        _, s, one, two, cos, same = _square(group)
+        loss = _losses(cos, same, alpha)
+        loss[one[:, None] == two] = -np.inf
+        sides = [(one, two, loss)] + ([(two, one, loss.T)] if group.column("i")[0].as_py() != group.column("j")[0].as_py() else [])
+        out = []
+        for mine, others, x in sides:
+            if len(mine) and len(others):
+                at = np.round(x, 9).argmax(1)
+                top = x[np.arange(len(at)), at]
+                out += [(s[r], s[others[k]], f) for r, k, f in zip(mine, at, top.tolist(), strict=True) if f > -np.inf]
+        return pa.table({"string": pa.array([o[0] for o in out], pa.string()), "other": pa.array([o[1] for o in out], pa.string()), "loss": pa.array([o[2] for o in out], pa.float64())})
+
+    each = _labelled(vectors, matches).groupBy("i", "j").applyInArrow(hard, "string string, other string, loss double")
+    top = each.groupBy("string").agg(F.min_by(F.struct("other", "loss"), F.struct(-F.round("loss", 9), F.col("other"))).alias("b"))
+    return top.select("string", "b.other", "b.loss")
+
+
+def mean_losses_of_all(vectors: DataFrame, matches: DataFrame, alphas: list[float]) -> DataFrame:
+    """(alpha, loss): mean loss at each alpha over all pairs of the vectors; each pair of blocks gives its sums."""
+
+    def sums(group: pa.Table) -> pa.Table:
+        _, _, one, two, cos, same = _square(group)
+        if group.column("i")[0].as_py() == group.column("j")[0].as_py():
+            upper = np.triu_indices(len(one), 1)
+            cos, same = cos[upper], same[upper]
+        total = [float(_losses(cos, same, a).sum()) for a in alphas]
+        return pa.table({"alpha": pa.array(alphas, pa.float64()), "total": pa.array(total, pa.float64()), "n": pa.array([cos.size] * len(alphas), pa.int64())})
+
+    each = _labelled(vectors, matches).groupBy("i", "j").applyInArrow(sums, "alpha double, total double, n long")
+    return each.groupBy("alpha").agg((F.sum("total") / F.sum("n")).alias("loss"))
+
+
+def top_of_all(vectors: DataFrame, matches: DataFrame, alpha: float, n: int = 10_000, by_group: bool = True, sort_by: tuple[str, ...] = ("impact", "score"), ascending: bool = False, skip: DataFrame | None = None) -> DataFrame:
+    """As review.top_scored_pairs, over all pairs of the vectors whatever their score.
+
+    Each pair of blocks gives its first n (by_group: of the best pair of each two groups), of which the first n of all stay:
+    a pair with n better ones in its own blocks has as many among all. A row brings the partners it must not have.
+    """
+    bad = [c for c in sort_by if c not in ("impact", "score", "loss")]
+    if bad:
+        raise ValueError(f"pairs can't be sorted by {bad}")
+    sizes = matches.groupBy("group").agg(F.count("*").alias("k"))
+    known = join_unique(matches.select("string", "group"), sizes, ["group"], "k")
+    key = "group" if by_group else "string"
+    if skip is not None:
+        pairs = skip.select("string0", "string1")
+        if by_group:
+            g = lambda i: matches.select(F.col("string").alias(f"string{i}"), F.col("group").alias(f"g{i}"))
+            pairs = pairs.join(g(0), "string0").join(g(1), "string1").select(F.col("g0").alias("string0"), F.col("g1").alias("string1"))
+        both = pairs.unionByName(pairs.select(F.col("string1").alias("string0"), F.col("string0").alias("string1")))
+        known = known.join(both.groupBy(F.col("string0").alias(key)).agg(F.collect_set("string1").alias("out")), key, "left")
+    else:
+        known = known.withColumn("out", F.lit(None).cast("array<string>"))
+
+    def best(group: pa.Table) -> pa.Table:
+        group, s, one, two, cos, same = _square(group)
+        g, k = np.array(group.column("group").to_pylist(), dtype=object), group.column("k").to_numpy()
+        keep = ~same
+        if group.column("i")[0].as_py() == group.column("j")[0].as_py():
+            keep &= one[:, None] < two
+        names, out = g if by_group else s, group.column("out").to_pylist()
+        for r, row in enumerate(one):
+            if out[row]:
+                keep[r] &= ~np.isin(names[two].astype(str), np.array(out[row], dtype=str))
+        p, q = np.nonzero(keep)
+        loss = _losses(cos, same, alpha)[p, q]
+        value = {"score": np.minimum(1.0, np.exp(-alpha * (1 - cos[p, q]))), "loss": loss, "impact": k[one[p]] * k[two[q]]}
+        first, second = np.minimum(one[p], two[q]), np.maximum(one[p], two[q])
+        keys = [np.round(value[c], 9) * (1 if ascending else -1) for c in sort_by]
+        order = np.lexsort([second, first, *reversed(keys)])
+        if by_group:
+            label = np.unique(g, return_inverse=True)[1]
+            a, b = label[first[order]], label[second[order]]
+            order = order[np.sort(np.unique(np.minimum(a, b) * len(g) + np.maximum(a, b), return_index=True)[1])]
+        order = order[:n]
+        x, y = first[order], second[order]
+        return pa.table({
+            "string0": pa.array(s[x], pa.string()), "string1": pa.array(s[y], pa.string()), "group0": pa.array(g[x], pa.string()), "group1": pa.array(g[y], pa.string()),
+            "score": pa.array(value["score"][order], pa.float64()), "loss": pa.array(loss[order], pa.float64()), "impact": pa.array(value["impact"][order], pa.int64()),
+        })
+
+    rows = _labelled(vectors, known, "k", "out").groupBy("i", "j").applyInArrow(best, "string0 string, string1 string, group0 string, group1 string, score double, loss double, impact long")
+    rounded = {"score": F.round("score", 9), "loss": F.round("loss", 9), "impact": F.col("impact")}
+    by = [rounded[c].asc() if ascending else rounded[c].desc() for c in sort_by] + [F.col("string0"), F.col("string1")]
+    if by_group:
+        rows = rows.withColumn("_r", F.row_number().over(W.partitionBy(F.least("group0", "group1"), F.greatest("group0", "group1")).orderBy(*by))).where(F.col("_r") == 1)
+    return rows.orderBy(*by).limit(n).select("string0", "string1", "group0", "group1", "score", "loss", "impact")
