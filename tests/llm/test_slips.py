@@ -1,0 +1,42 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from kinmark.llm import variants
+
+COLUMNS = "row_id long, string string, count long, `group` string, feed string, seen_at long"
+
+
+def test_links_without_a_shared_gram(spark):
+    cases = [("Morasbas Hiibalar Ins.", "Morasubas Hibalar Insurance"), ("Lemibaayom Hoohi Veterinary", "Lemibayom Hogohi Veterinary"), ("Kovaxidem Foods", "Kovatidem Foods"), ("Dumixalo Foods", "Dumisalo Foods")]
+    for typed, label in cases:
+        cores = [variants.parse(x)[2] for x in (typed, label)]
+        assert not set(variants.grams(" ".join(sorted(cores[0].split())), turned=True)) & set(variants.grams(cores[1]))
+    rows = [(i, typed, 1, None, "x", 0) for i, (typed, _) in enumerate(cases)] + [(100 + i, label, 1, label, "x", 0) for i, (_, label) in enumerate(cases)]
+    got = {r["row_id"]: r["group"] for r in variants.link_variants(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got == {i: label for i, (_, label) in enumerate(cases)}
+
+
+def test_parts_met_by_chance_do_not_link(spark):
+    rows = [(1, "Mitikasas Nulavol Department Co", 1, None, "x", 0), (2, "Mitikadar Nukahon Department SA", 1, "Mitikadar Nukahon Department SA", "x", 0)]
+    assert variants.link_variants(spark.createDataFrame(rows, COLUMNS)).collect() == []
+
+
+@pytest.mark.parametrize("length", [*range(1, 20)])
+def test_keys_meet_within_two_edits(length):
+    rng = random.Random(length)
+    allowed = 2 if length > 3 else 1 if length > 1 else 0
+    for _ in range(300):
+        form = "".join(rng.choice("abc") for _ in range(length))
+        typed = list(form)
+        for _ in range(rng.randint(0, allowed)):
+            at, what = rng.randrange(len(typed) + 1), rng.choice("ids")
+            if what == "i" or at == len(typed):
+                typed.insert(at, rng.choice("abc"))
+            elif what == "d" and len(typed) > 1:
+                del typed[at]
+            else:
+                typed[at] = rng.choice("abc")
+        assert set(variants.probe_keys("".join(typed))) & set(variants.held_keys(form)), (form, typed)
