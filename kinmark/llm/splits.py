@@ -12,6 +12,8 @@ from .copies import fingerprints
 SEEDS = 8
 #: Units above 1/BIG of all rows are placed one by one, RESERVE units of each size up to SMALL are left for the exact step.
 BIG, SMALL, RESERVE = 1000, 64, 64
+#: Sums of three or more splits that are looked through jointly at most.
+STATES = 300_000
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -72,7 +74,22 @@ def related_pairs(df: DataFrame, id_col: str = "row_id", string_col: str = "stri
     return pairs.select("group0", "group1").distinct()
 
 
-def closest(items: list[tuple[int, int]], target: int) -> dict[int, int]:
+def _pick(chunks: list[tuple[int, int]], at: int) -> list[tuple[int, int]]:
+    """Chunks of sum `at`, which must be reachable: halves meet at a sum, so few bitsets are held at once."""
+    if not at or len(chunks) == 1:
+        return chunks if at else []
+    first, second = chunks[: len(chunks) // 2], chunks[len(chunks) // 2 :]
+    up, down, mask = 1, 1 << at, (1 << at + 1) - 1
+    for size, take in first:
+        up |= up << size * take & mask
+    for size, take in second:
+        down |= down >> size * take
+    both = up & down
+    m = (both & -both).bit_length() - 1
+    return _pick(first, m) + _pick(second, at - m)
+
+
+def closest(items: list[tuple[int, int]], target: float) -> dict[int, int]:
     """Of units of (size, number): how many of each size come closest to target in sum, from a bitset of all reachable sums.
     Of two equally close sums the smaller one."""
     chunks = []
@@ -83,28 +100,85 @@ def closest(items: list[tuple[int, int]], target: int) -> dict[int, int]:
             chunks.append((size, take))
             number -= take
             k *= 2
-    bits = [1]
+    bits = 1
     for size, take in chunks:
-        bits.append(bits[-1] | bits[-1] << size * take)
+        bits |= bits << size * take
     target = max(target, 0)
-    below = (bits[-1] & (1 << target + 1) - 1).bit_length() - 1
-    more = bits[-1] >> target + 1
-    above = (more & -more).bit_length() + target if more else None
+    floor = int(target)
+    below = (bits & (1 << floor + 1) - 1).bit_length() - 1
+    more = bits >> floor + 1
+    above = (more & -more).bit_length() + floor if more else None
     at = below if above is None or target - below <= above - target else above
     taken: dict[int, int] = {}
-    for (size, take), before in zip(reversed(chunks), reversed(bits[:-1]), strict=True):
-        if not before >> at & 1:
-            taken[size] = taken.get(size, 0) + take
-            at -= size * take
+    for size, take in _pick(chunks, at):
+        taken[size] = taken.get(size, 0) + take
     return taken
 
 
+def _jointly(units: list[int], targets: list[float]) -> list[int] | None:
+    """The split of each unit, of least sum of squared distances from the targets; None where more than STATES sums are met."""
+    layers: list[dict[tuple[int, ...], tuple[tuple[int, ...], int] | None]] = [{(0,) * len(targets): None}]
+    met = 1
+    for u in units:
+        layer: dict[tuple[int, ...], tuple[tuple[int, ...], int] | None] = {}
+        for state in layers[-1]:
+            for i in range(len(targets)):
+                layer.setdefault(state[:i] + (state[i] + u,) + state[i + 1 :], (state, i))
+        met += len(layer)
+        if met > STATES:
+            return None
+        layers.append(layer)
+    state = min(layers[-1], key=lambda x: (sum((a - t) ** 2 for a, t in zip(x, targets, strict=True)), x))
+    out = []
+    for layer in reversed(layers[1:]):
+        state, i = layer[state]
+        out.append(i)
+    return out[::-1]
+
+
+def _settle(given: dict[int, dict[str, int]], targets: dict[str, float]) -> None:
+    """Bring the totals to the closest reachable ones, by the sum of squared distances; units of all sizes take part.
+
+    Nothing is moved where the totals are the targets rounded. Otherwise each two splits share their units anew by a subset
+    sum, until no two can be closer: exact for two splits. For more, all are dealt jointly while at most STATES sums are met;
+    beyond that, each two splits are as close as they can be, which doesn't prove that all are.
+    """
+    names = list(targets)
+    totals = lambda: {x: sum(s * by[x] for s, by in given.items()) for x in names}
+    off = lambda t: sum((t[x] - targets[x]) ** 2 for x in names)
+    low = {x: int(targets[x] + 1e-9) for x in names}
+    left = sum(totals().values()) - sum(low.values())
+    for x in sorted(names, key=lambda x: low[x] - targets[x])[:left]:
+        low[x] += 1
+    least, better = off(low) + 1e-6, True
+    while better and off(totals()) > least:
+        better = False
+        for i, x in enumerate(names):
+            for y in names[i + 1 :]:
+                now = totals()
+                both = {s: by[x] + by[y] for s, by in given.items() if by[x] + by[y]}
+                taken = closest(sorted(both.items(), reverse=True), (targets[x] + now[x] + now[y] - targets[y]) / 2)
+                mine = sum(s * k for s, k in taken.items())
+                if off(now | {x: mine, y: now[x] + now[y] - mine}) < off(now) - 1e-6:
+                    better = True
+                    for s, n in both.items():
+                        given[s][x], given[s][y] = taken.get(s, 0), n - taken.get(s, 0)
+    if len(names) > 2 and off(totals()) > least and sum(sum(by.values()) for by in given.values()) < STATES:
+        units = [s for s, by in sorted(given.items(), reverse=True) for _ in range(sum(by.values()))]
+        dealt = _jointly(units, list(targets.values()))
+        if dealt is not None:
+            for by in given.values():
+                by.update(dict.fromkeys(names, 0))
+            for s, i in zip(units, dealt, strict=True):
+                given[s][names[i]] += 1
+
+
 def plan_splits(multiplicities: dict[int, int], shares: list[tuple[str, float]]) -> list[tuple[int, str, int, int]]:
     """(size, split, from, to): which units of each size, by their rank, go to which split.
 
     Units larger than 1/1000 of all rows go first, each to the split that lacks most. All smaller sizes are then shared out in
     proportion, so splits are alike in kind; what doesn't divide goes, largest first, to the split that lacks most; and
-    reserved small units bring the totals to the closest reachable ones.
+    reserved small units bring the totals close. Where they aren't the shares rounded then, units of all sizes are shared anew.
     """
     total = sum(s * n for s, n in multiplicities.items())
     whole = sum(share for _, share in shares) or 1.0
@@ -140,6 +214,8 @@ def plan_splits(multiplicities: dict[int, int], shares: list[tuple[str, float]])
     last = most()
     for s, n in rest.items():
         give(s, last, n)
+    if names:
+        _settle(given, {name: total * share / whole for name, share in shares})
     out = []
     for s, by in given.items():
         at = 0
@@ -154,8 +230,8 @@ def grouped_splits(df: DataFrame, shares: DataFrame, id_col: str = "row_id", str
     """(id, split, unit): every row with its split; unit is the same for all that had to stay together.
 
     Rows of one group, of groups that share words, and rows without group with the same words as these or as one another are a
-    unit. A row without group and words is one by itself. Totals are the reachable ones closest to the shares, which are
-    taken relative to their sum. No shares give no rows.
+    unit. A row without group and words is one by itself. Totals are the reachable ones closest to the shares (for three
+    splits and more within the bound that _settle states), which are taken relative to their sum. No shares give no rows.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
