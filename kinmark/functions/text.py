@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What is deleted inside a word, what separates words, and the words of company forms, by their meaning.
-INNER_MARKS = r"['’´.]"
-SEPARATORS = r"\s.,!@#$%^&*:;/'\"`´‘’“”()_—\-"
-COMPANY_FORMS = ("group", "holdings?(?: co)?", "inc(?:orporated)?", "ltd", "l ?l? ?[cp]", "co(?:rp(?:oration)?|mpany)?", "sa", "se", "plc")
+# Marks deleted inside a word; marks that separate words: stops, quotes, brackets, signs, lines.
+INNER_MARKS = "'’´."
+SEPARATORS = ".,:;!" + "'\"`´‘’“”" + "()" + "@#$%^&*/" + "_-—"
+# Words of company forms.
+COMPANY_WORDS = ("co", "company", "corp", "corporation", "group", "holding", "holdings", "inc", "incorporated", "ltd", "plc", "sa", "se")
+#: Forms of initials, which may be written with spaces between them.
+COMPANY_INITIALS = ("lc", "lp", "llc", "llp")
+
+
+def spacings(initials: str) -> list[str]:
+    """All ways to write initials with or without a space between each two."""
+    out = [initials[:1]]
+    for letter in initials[1:]:
+        out = [w + gap + letter for w in out for gap in ("", " ")]
+    return out
+
+
+COMPANY_FORMS = (*COMPANY_WORDS, *(w for form in COMPANY_INITIALS for w in spacings(form)))
+
+
+def one_of(marks: str) -> str:
+    """The inside of a character class."""
+    return "".join("\\" + m if m in "\\]^-" else m for m in marks)
 
 
 def simplify(string: Column | str) -> Column:
@@ -16,8 +35,8 @@ def simplify(string: Column | str) -> Column:
     space and punctuation one space; no space at the edges. Signs like + = ? < > and brackets stay. Null stays null."""
     s = F.lower(F.col(string) if isinstance(string, str) else string)
     s = F.replace(s, F.lit(" & "), F.lit(" and "))
-    s = F.regexp_replace(s, rf"(?U)(?<=\S){INNER_MARKS}(?=\S)", "")
-    return F.trim(F.regexp_replace(s, rf"(?U)[{SEPARATORS}]+", " "))
+    s = F.regexp_replace(s, rf"(?U)(?<=\S)[{one_of(INNER_MARKS)}](?=\S)", "")
+    return F.trim(F.regexp_replace(s, rf"(?U)[\s{one_of(SEPARATORS)}]+", " "))
 
 
 def simplify_corp(string: Column | str) -> Column:

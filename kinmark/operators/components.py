@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.skew import join_each, join_unique
 from ..plans.storage import Scratch
 
 SEEDS = 8
 
 
-def _stars(edges: DataFrame) -> DataFrame:
+def _stars(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """One large-star and one small-star step over edges (u, v), u > v: neighbours are handed to the smallest of all."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-    low = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(low, "u")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    large = join_unique(both, least, ["u"], "n", scratch=scratch).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    large = scratch.write(large)
+    small = join_unique(large, large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), ["u"], "n", scratch=scratch)
     small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
     return small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
@@ -43,7 +44,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = scratch.write(ids.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
     state = None
     while True:
-        after = scratch.write(_stars(edges))
+        after = scratch.write(_stars(edges, scratch))
         now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(edges)
         edges = after
@@ -52,4 +53,4 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         state = tuple(now)
     roots = edges.select(F.col("u").alias("id"), F.col("v").alias("r"))
     found = members.join(roots, "id", "left").select("member", F.coalesce("r", "id").alias("id"))
-    return found.join(members.select("id", F.col("member").alias("root")), "id").select("member", "root")
+    return join_each(found, members.select("id", F.col("member").alias("root")), ["id"]).select("member", "root")

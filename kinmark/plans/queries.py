@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import ALWAYS, l2_normalize, pair_loss, score, score_to_cos, weight
-from ..functions.text import simplify, simplify_corp, suffix_key
+from ..functions.text import COMPANY_FORMS, INNER_MARKS, SEPARATORS, one_of, simplify, simplify_corp, suffix_key
 from ..operators import calibrate, clustering, evaluate, groups, linkage, review, spelling, vectors
 from .storage import Scratch
 
@@ -84,16 +84,21 @@ SINGLE = 'SELECT string, CAST(sum(coalesce("count", 1)) AS BIGINT) AS "count", s
 GAPS = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
+def quoted(marks: str) -> str:
+    return one_of(marks).replace("'", "''")
+
+
 def simplified(s: str) -> str:
     """SQL for simplify, without lookaround: inner marks go in passes."""
     out = f"replace(lower({s}), ' & ', ' and ')"
     for _ in range(4):
-        out = f"regexp_replace({out}, '([^{GAPS}])[''’´.]([^{GAPS}])', '\\1\\2', 'g')"
-    return f"trim(regexp_replace({out}, '[{GAPS}.,!@#$%^&*:;/''\"`´‘’“”()_—\\-]+', ' ', 'g'))"
+        out = f"regexp_replace({out}, '([^{GAPS}])[{quoted(INNER_MARKS)}]([^{GAPS}])', '\\1\\2', 'g')"
+    return f"trim(regexp_replace({out}, '[{GAPS}{quoted(SEPARATORS)}]+', ' ', 'g'))"
 
 
 def corp(s: str) -> str:
-    return f"regexp_replace(regexp_replace({simplified(s)}, '^the ', ''), '( (group|holdings?( co)?|inc(orporated)?|ltd|l ?l? ?[cp]|co(rp(oration)?|mpany)?|s[ae]|plc))+$', '')"
+    forms = "|".join(sorted(COMPANY_FORMS, key=lambda w: (-len(w), w)))
+    return f"regexp_replace(regexp_replace({simplified(s)}, '^the ', ''), '( ({forms}))+$', '')"
 
 
 @query('SELECT string, CAST(sum(coalesce("count", 1)) AS BIGINT) AS "count", string AS "group" FROM matcher WHERE string IS NOT NULL GROUP BY string')
