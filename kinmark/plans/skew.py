@@ -46,19 +46,19 @@ def join_each(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inn
     return marked.join(parts, [*keys, "_part"], how).drop("_part")
 
 
-def ranks(df: DataFrame, by: list[str], order: Column, size: Column | None = None, most: int = 0, out: str = "rank") -> DataFrame:
+def ranks(df: DataFrame, by: list[str], order: Column, size: Column | None = None, most: int = 0, out: str = "rank", seed: int = 17) -> DataFrame:
     """Adds, within each `by`, the running sum of size (1 by default) over the rows before, in the order of hash buckets.
 
     `order` is a LONG that is unique for a row (an id): its hash spreads the rows of one `by` over buckets, sums of buckets
     are made by partial aggregation, and only rows of one bucket are ever sorted together. most is the number of rows of the
     largest `by`, where it is known: buckets hold a hundred thousand of them at most on average. The order is the hash's, so
-    it is random with respect to the data but the same in each run.
+    it is random with respect to the data but the same in each run with the same seed.
     """
     from pyspark.sql import Window as W
 
     buckets = max(1024, most // 100_000)
     size = F.lit(1).cast("long") if size is None else size.cast("long")
-    rows = df.withColumns({"_at": F.xxhash64(order, F.lit(17)), "_size": size})
+    rows = df.withColumns({"_at": F.xxhash64(order, F.lit(seed)), "_size": size})
     rows = rows.withColumn("_bucket", F.pmod("_at", F.lit(buckets)))
     sums = rows.groupBy(*by, "_bucket").agg(F.sum("_size").alias("_sum"))
     before = sums.withColumn("_before", F.sum("_sum").over(W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))).select(
