@@ -86,29 +86,36 @@ def _meets(patterns, have: dict[str, float], repeats: dict[str, int], total: flo
 
 
 def mixed_documents(
-    documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 42, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key_col: str = "message_id"
-) -> DataFrame:
+    documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 42, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key_col: str = "message_id",
+    exact_shares: bool = False,
+) -> DataFrame:
     """(id, source, uses, tokens): the documents of the mix, each with the source it counts for and how often it is used.
 
-    Rows with equal key are one document, delivered by each row's source; for a source its smallest id stands. Texts that are
-    null or empty and sources without a target take no part. total_tokens is by default the largest total at which every source
-    that has documents gets its share; a source without any keeps nothing, and others are not raised for it.
+    Rows with equal key are one document, delivered by each row's source; for a source its smallest id stands; a row without a
+    key is a document by itself. Texts that are null or empty and sources without a target take no part. total_tokens is by
+    default the number of tokens at hand: a source that can't fill its share of that, repetitions included, gives all it has,
+    and the others keep their target shares to one another. With exact_shares it is the largest total at which every source
+    that has documents gets its share, so the scarcest one decides. A source that has documents and a share gets one at least;
+    otherwise amounts are met to within a document for each set of sources that shares documents.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark)
     wanted = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.where("target_share > 0 AND max_repeats > 0").collect()}
-    names = sorted(wanted)
-    mine = documents.where(F.col(source_col).isin(names) & F.col(text_col).isNotNull())
-    sized = mine.select(F.col(key_col).alias("key"), F.col(source_col).alias("source"), F.col(id_col).cast("long").alias("id"), token_count(F.col(text_col), vocabulary).alias("tokens"))
+    mine = documents.where(F.col(source_col).isin(sorted(wanted)) & F.col(text_col).isNotNull())
+    own_key = F.coalesce(F.col(key_col).cast("string"), F.concat(F.lit("\0"), F.col(id_col).cast("string")))
+    sized = mine.select(own_key.alias("key"), F.col(source_col).alias("source"), F.col(id_col).cast("long").alias("id"), token_count(F.col(text_col), vocabulary).alias("tokens"))
     sized = scratch.write(sized.where("tokens > 0"))
     stands = sized.groupBy("key", "source").agg(F.min("id").alias("id"), F.min_by("tokens", "id").alias("tokens"))
     documents_of = stands.groupBy("key").agg(
         F.array_sort(F.collect_list("source")).alias("pattern"), F.min("id").alias("unit"), F.max("tokens").alias("mass"), F.collect_list(F.struct("source", "id", "tokens")).alias("each")
     )  # lists of at most as many entries as there are sources
     units = scratch.write(documents_of)
-    patterns = {tuple(r["pattern"]): float(r["mass"]) for r in units.groupBy("pattern").agg(F.sum("mass").alias("mass")).collect()}
+    scratch.drop(sized)
+    sums = units.groupBy("pattern").agg(F.sum("mass").alias("mass"), F.count("*").alias("n")).collect()
+    patterns = {tuple(r["pattern"]): float(r["mass"]) for r in sums}
     shares, repeats = {s: w[0] for s, w in wanted.items()}, {s: w[1] for s, w in wanted.items()}
-    total = reachable_total(patterns, shares, repeats) if total_tokens is None else float(total_tokens)
+    total = reachable_total(patterns, shares, repeats) if exact_shares else sum(patterns.values()) / sum(shares.values()) if patterns else 0.0
+    total = total if total_tokens is None else float(total_tokens)
     flow = min_cost_flow(patterns, {s: share * total for s, share in shares.items()}, repeats) if patterns else {}
     rows = []
     for p, mass in patterns.items():
@@ -117,13 +124,23 @@ def mixed_documents(
             if flow[p, s] > EPS:
                 rows.append((list(p), s, at, at + flow[p, s], mass))
                 at += flow[p, s]
+    # one row for each pattern and source of it
     stretch = F.broadcast(spark.createDataFrame(rows, "pattern array<string>, source string, begin double, finish double, around double"))
-    placed = ranks(units, ["pattern"], F.col("unit") * F.lit(1_000_003) + F.lit(seed), F.col("mass"), out="place")
+    placed = ranks(units, ["pattern"], F.col("unit"), F.col("mass"), most=max((r["n"] for r in sums), default=0), out="place", seed=seed)
     used = placed.join(stretch, "pattern")
     # the line is wound around its pattern's tokens: a place is met once in each round that the stretch covers
     middle = F.col("place") + F.col("mass") / 2
     times = F.ceil((F.col("finish") - middle) / F.col("around")) - F.ceil((F.col("begin") - middle) / F.col("around"))
-    used = used.withColumn("uses", F.greatest(times, F.lit(0))).where("uses > 0")
+    used = used.withColumn("uses", F.greatest(times, F.lit(0))).where("uses > 0").select("unit", "pattern", "each", "source", "uses")
+    used = scratch.write(used)
+    # stretches that are shorter than a document may hold no middle: a source left empty gets its first free document
+    empty = sorted({s for _, s, *_ in rows} - {r["source"] for r in used.select("source").distinct().collect()})
+    if empty:
+        most = F.create_map(*(F.lit(x) for s, n in repeats.items() for x in (s, n)))
+        free = units.join(used.groupBy("unit").agg(F.sum("uses").alias("u")), "unit", "left").where(F.coalesce("u", F.lit(0)) < F.array_min(F.transform("pattern", lambda s: F.element_at(most, s))))
+        free = free.select("unit", "pattern", "each", F.explode(F.array_intersect("pattern", F.array(*map(F.lit, empty)))).alias("source"))
+        first = free.groupBy("source").agg(F.min_by(F.struct("unit", "pattern", "each"), F.struct(F.xxhash64("unit", F.lit(seed)), F.col("unit"))).alias("b"))
+        used = used.unionByName(first.select("b.*", "source", F.lit(1).cast("long").alias("uses")))
     mine = F.filter("each", lambda e: e["source"] == F.col("source"))[0]
     return used.select(mine["id"].alias(id_col), "source", "uses", mine["tokens"].alias("tokens"))
 

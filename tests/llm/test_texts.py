@@ -87,6 +87,19 @@ def test_mixture(spark):
     assert abs(report["a"]["reached_share"] - 1 / 3) < 0.03 and abs(report["b"]["reached_share"] - 2 / 3) < 0.03
 
 
+def test_a_scarce_source_takes_nothing_from_the_others(spark):
+    columns = "doc_id long, message_id string, source string, text string, mass int"
+    docs = [(10**18 + i, f"m{i}", "a", "word " * 20, 0) for i in range(200)] + [(5, None, "b", "t", 0), (-(2**63), "low", "c", "word", 0)]
+    df = spark.createDataFrame(docs, columns)
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats long")
+    report = {r["source"]: r for r in mixture.mix_report(mixture.mixed_documents(df, targets), targets).collect()}
+    each = report["a"]["tokens"] / report["a"]["documents"]
+    assert abs(report["a"]["tokens"] - (200 * each + 1) / 2) <= each and report["b"]["tokens"] == 2
+    exact = {r["source"]: r for r in mixture.mix_report(mixture.mixed_documents(df, targets, exact_shares=True), targets).collect()}
+    assert exact["a"]["documents"] == 1 and exact["b"]["tokens"] == 2
+    assert mixture.mixed_documents(df.where("false"), targets).count() == 0 and mixture.mixed_documents(df, targets.where("false")).count() == 0
+
+
 CASES = [
     ("Dear Mr. Smith,\n\nIt cost 3.5 at 5 p.m. today. We left... Still, go! \"No,\" she said, \"wait.\" P.S. Call Dr. No at once\n-- \nJoe", ["Dear Mr. Smith,", "It cost 3.5 at 5 p.m. today.", "We left...", "Still, go!", '"No," she said, "wait."', "P.S. Call Dr. No at once"]),
     ("Subject: x\nContent-Type: text/plain\n\nOne.\nOn Monday A wrote:\n> Quoted. Text.\nTwo\r\nlines? Three.Four it is.\n_____ off", ["One.", "Two\r\nlines?", "Three.", "Four it is."]),
