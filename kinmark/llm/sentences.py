@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 # Placeholder, one character for each masked one, and the sign put where a sentence ends.
 DOT, CUT = "\ue000", "\ue001"
 
-# Abbreviations after which a sentence goes on, whatever follows.
-TITLES = "Mr Mrs Ms Mx Dr Prof Sgt Capt Lt Col Gen Rev Hon St Mt Messrs Hr Fr Frl Sr Sra Srta Sres D Dña Dn Mme Mlle Mmes MM Me Mgr г-н г-жа гр им проф акад κ κα κος δρ Δρ Κ د أ م ا डॉ श्री प्रो पं ดร นาย".split()
+# Abbreviations after which a sentence goes on, whatever follows. Lists may be other ones: sentences() takes any.
+TITLES = "Mr Mrs Ms Mx Dr Drs Prof Sgt Cpl Maj Cmdr Adm Capt Lt Col Gen Gov Sen Rep Rev Hon St Mt Ft Messrs Ing Mag Hr Hrn Fr Frl Sr Sra Srta Sres D Dña Dn Mme Mlle Mmes MM Me Mgr г-н г-жа гр им проф акад κ κα κος δρ Δρ Κ د أ م ا डॉ श्री प्रो पं ดร นาย".split()
 LEADING = "P.S P.P.S N.B e.g i.e cf vs viz approx ca c z.B d.h u.a u.U bzw sog vgl bspw p.ej P.ej p.ex т.е т.к напр см π.χ δηλ βλ".split()
 #: Abbreviations of two words with white space between.
 SPACED = [x.split() for x in ("d h", "z B", "u a", "u U", "i e", "e g", "т е", "т к", "п п", "p ej", "p ex", "π χ", "P S", "N B")]
-#: Before a number or a name that they announce.
+#: Before a number or a name that they announce; months before a day or a year.
 BEFORE_NUMBER = "No Nos no nos est ext v Nr Nrn Art art Abs abs col Col cols fig Fig p pp pág págs pag S Seite Bd Kap Tel tel vol Vol Rev rev sec Sec ch Ch par para lot núm Núm n num стр с д кв оф корп ул пр пер п пп г гг рис табл αρ Αρ σελ άρθ".split()
+MONTHS = "Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec Mär Okt Dez janv févr avr juil août sept oct nov déc ene feb mar abr jun jul ago sep set dic fev mai out dez gen giu lug ott".split()
+#: At the head of a sentence: initials right behind them are what it is about, and no end.
+HEADS = "The A An This That These Those Our My His Her Its Their Your".split()
 STREETS = "ул пр пер пл наб бул просп г д кв оф корп стр обл р пос дер".split()
 MONTHS_RU = "янв февр фев мар апр июн июл авг сент сен окт нояб ноя дек".split()
 #: May end a sentence; where a caseless script follows they don't.
@@ -37,7 +40,11 @@ GAP = "[ \\t\u00a0\u202f]*\\r?\\n?[ \\t\u00a0\u202f]*"
 NARROW = "[ \\t\u00a0\u202f]?\\r?\\n?[ \\t\u00a0\u202f]?"
 CLOSING = r"[)\]}\"'”’»«›‹“‘」』】》〉）］]"
 OPENING = r"[(\[{\"'“‘„«»‹›¿¡「『【《〈（［]"
-END = r"[.!?…؟۔।॥]"
+#: Sentence terminators (Unicode's property) that white space follows, and of scripts that write on without any.
+END = r"[.!?…؟۔।॥։܀܁܂߹᠃᠉᙮᱾᱿꘎꘏꛳꛷꣎꣏꤯꩝꩞꩟꫰꫱꯫‼‽⁇⁈⁉⸮⸼]"
+CLOSE_END = "[။။៕។።፧፨]"
+#: Georgian letters are small ones to Unicode, though its sentences open with them.
+SMALL = r"(?![\p{Ll}&&[^\p{IsGeorgian}]])"
 
 
 def _any(words: list[str]) -> str:
@@ -45,37 +52,47 @@ def _any(words: list[str]) -> str:
     return "|".join(w.replace(".", f"[.{DOT}]") for w in sorted(words, key=lambda w: (-len(w), w)))
 
 
-def masks() -> list[str]:
-    """Patterns of single marks that end nothing. Each opens with the mark, so that what is before is looked at there only."""
-    after = lambda before, words, ahead: f"[.](?<={before}(?:{_any(words)})[.])(?={ahead})"
-    return [
-        # decimals, times and versions; addresses and links
-        r"[.](?<=\p{Nd}[.])(?=\p{Nd})",
-        r"[.](?<=[A-Za-z0-9][.])(?=[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9])",
-        r"[.](?<=[A-Za-z0-9][.])(?=[a-z0-9-]+(?:[/@]|[.]?(?:example|com|org|net|edu|gov|invalid|test)\b))",
-        r"[.?!](?<=(?:https?://|www[.])[^\s]{0,120}[.?!])(?=[A-Za-z0-9/_-])",
+def _either(words: list[str]) -> list[str]:
+    """The words, and these with a capital first letter, as at the head of a sentence."""
+    return [*dict.fromkeys(x for w in words for x in (w, w[:1].upper() + w[1:]))]
+
+
+def masks() -> str:
+    """A pattern of single dots that end nothing: a dot, then what is before and behind it, looked at there only."""
+    after = lambda before, words, ahead: f"(?<={before}(?:{_any(words)})[.])(?={ahead})"
+    each = [
+        # decimals, times and versions; the name in an address, of 64 characters at most by the rules of mail
+        r"(?<=\p{Nd}[.])(?=\p{Nd})",
+        r"(?<=[A-Za-z0-9][.])(?=[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9])",
         # abbreviations; of two letters with white space between, both dots
-        rf"[.](?<={WORD}(?:{'|'.join(sorted({x[0] for x in SPACED}))})[.])(?={GAP}(?:{'|'.join(sorted({x[1] for x in SPACED}))})[.])",
-        rf"[.](?<={WORD}(?:{'|'.join(x + DOT + NARROW + y for x, y in SPACED)})[.])",
-        after(WORD, TITLES + LEADING + MONTHS_RU, SPACE),
+        rf"(?<={WORD}(?:{'|'.join(sorted({x[0] for x in SPACED}))})[.])(?={GAP}(?:{'|'.join(sorted({x[1] for x in SPACED}))})[.])",
+        rf"(?<={WORD}(?:{'|'.join(f'{x}[.{DOT}]{NARROW}{y}' for x, y in SPACED)})[.])",
+        after(WORD, TITLES + _either(LEADING) + MONTHS_RU, SPACE),
         after(WORD, BEFORE_NUMBER, rf"{GAP}(?:[(#№]?\p{{Nd}}|[A-Z][.{DOT}]?\p{{Nd}}|[IVXLC]+\b)"),
+        after(WORD, MONTHS, rf"{GAP}\p{{Nd}}"),
         after(WORD, STREETS, rf"{SPACE}+[\p{{IsCyrillic}}\p{{Nd}}]"),
-        rf"[.](?<=\p{{Ll}}str[.])(?={GAP}\p{{Nd}})",
-        # initials, one after the other
-        rf"[.](?<={FREE}\p{{Lu}}[.])(?={GAP}\p{{Lu}})",
+        rf"(?<=\p{{Ll}}str[.])(?={GAP}\p{{Nd}})",
+        # initials, one after the other; the last ones of a sentence's first words
+        rf"(?<={FREE}\p{{Lu}}[.])(?={GAP}\p{{Lu}})",
+        rf"(?<={WORD}(?:{'|'.join(HEADS)}){SPACE}(?:\p{{Lu}}[.{DOT}]){{1,4}}(?<=[.]))(?={SPACE})",
         # ordinals
-        rf"[.](?<=(?<![{LETTER}.,{DOT}])\p{{Nd}}{{1,2}}[.])(?={GAP}(?:{_any(GERMAN_ORDINALS)})\b)",
+        rf"(?<=(?<![{LETTER}.,{DOT}])\p{{Nd}}{{1,2}}[.])(?={GAP}(?:{_any(GERMAN_ORDINALS)})\b)",
         # a company's name before a caseless script
         after(WORD, COMPANY, rf"{SPACE}*{CASELESS}"),
         # a time of day at the head of a sentence
-        rf"[.](?<=\bAt{SPACE}\p{{Nd}}{{1,2}}(?:[:.{DOT}]\p{{Nd}}\p{{Nd}})?{SPACE}[ap][.]m[.])(?={SPACE})",
+        rf"(?<=\bAt{SPACE}\p{{Nd}}{{1,2}}(?:[:.{DOT}]\p{{Nd}}\p{{Nd}})?{SPACE}[ap][.{DOT}]m[.])(?={SPACE})",
     ]
+    return f"[.](?:{'|'.join(each)})"
+
+
+#: Of a link the first mark that it goes on after, then from each such mark on the next one.
+LINK = rf"((?:https?://|www(?=[.])|\G(?<=[.?!]))[^\s.?!{DOT}]*)[.?!](?=[A-Za-z0-9/_-])"
 
 
-def cuts() -> list[str]:
-    """Patterns of what a sentence ends with: terminators by script, with the closing marks that belong to them."""
-    goes_on = rf"(?={SPACE}+(?:{OPENING}{SPACE}?)*+[^\p{{Ll}}{SPACE[1:-1]}—–,;:(\[{{&-]|{SPACE}+[(\[]{SPACE}?[\p{{Lu}}\p{{Lo}}])"
-    return [
+def cuts() -> str:
+    """A pattern of what a sentence ends with: terminators by script, with the closing marks that belong to them."""
+    goes_on = rf"(?={SPACE}+(?:{OPENING}{SPACE}?)*+{SMALL}[^{SPACE[1:-1]}—–,;:(\[{{&-]|{SPACE}+[(\[]{SPACE}?[\p{{Lu}}\p{{Lo}}])"
+    each = [
         # a blank line
         "\\n[ \\t\\r 　]*\\n",
         # full-width marks end at once; with a closing mark only before white space or an opening mark, else the sentence goes on
@@ -88,7 +105,9 @@ def cuts() -> list[str]:
         # no white space after the mark
         r"[.!?…]+(?<=[\p{Ll}\p{Nd}%)»”][.!?…]{1,3})(?=[¿¡«„“]?\p{Lu})",
         r"[.!?؟।]+(?<=[\p{IsArabic}\p{IsDevanagari}][.!?؟।]{1,3})(?=[\p{IsArabic}\p{IsDevanagari}])",
+        rf"{CLOSE_END}+(?:{CLOSING}(?![{LETTER}]))*",
     ]
+    return f"(?=[\\n;;。！？｡{END[1:-1]}{CLOSE_END[1:-1]}])(?:{'|'.join(each)})"
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -131,15 +150,16 @@ def own_prose(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def pieces(rows: DataFrame) -> DataFrame:
     """rows with pieces, the prose in parts of which each holds one sentence and white space, or white space only."""
-    out = F.translate("prose", DOT + CUT, "\ufffd\ufffd")
-    for pattern in masks():
-        out = F.regexp_replace(out, pattern, DOT)
-    for pattern in cuts():
-        out = F.regexp_replace(out, f"(?:{pattern})", f"$0{CUT}")
-    rows = _once(rows, "_o", out)
-    # white space ends a sentence in Thai
-    thai = F.regexp_replace("_o", rf"({SPACE}+)", f"$1{CUT}")
-    return _once(rows, "pieces", F.split(F.when(F.col("_o").rlike(r"\p{IsThai}"), thai).otherwise(F.col("_o")), CUT))
+    text = F.translate("prose", DOT + CUT, "\ufffd\ufffd")
+    text = F.when(text.contains("://") | text.contains("www."), F.regexp_replace(text, LINK, f"$1{DOT}")).otherwise(text)
+    cut = F.regexp_replace(F.regexp_replace(text, masks(), DOT), cuts(), f"$0{CUT}")
+    rows = _once(rows, "_o", F.split(cut, CUT))
+    # in Thai white space ends a sentence: all of it where most letters are Thai, elsewhere that between Thai letters
+    of = lambda p, kept: F.length(F.regexp_replace(p, f"[^{kept}]+", ""))
+    mostly = lambda p: 2 * of(p, r"\p{IsThai}") > of(p, r"\p{L}\p{M}")
+    between = r"(?<=\p{IsThai})" + SPACE + r"+(?=\p{IsThai})"
+    thai = lambda p: F.split(F.when(mostly(p), F.regexp_replace(p, f"{SPACE}+", f"$0{CUT}")).otherwise(F.regexp_replace(p, between, f"$0{CUT}")), CUT)
+    return _once(rows, "pieces", F.when(F.col("prose").rlike(r"\p{IsThai}"), F.flatten(F.transform("_o", thai))).otherwise(F.col("_o")))
 
 
 def starts(lengths: Column, block: int = 256) -> Column:
