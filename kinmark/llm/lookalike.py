@@ -1,22 +1,23 @@
 """Problem 2: visually identical text with different characters, by confusables skeletons.
 
 A skeleton is made as Unicode's security mechanisms describe it: decompose, put each character's prototype from a table of
-look-alikes in its place, decompose again. Strings with equal skeletons look the same. From the skeleton the ordinary form
-of a string is spelled back: each word is written in the letters of one script, the one its unmistakable letters belong to.
+look-alikes in its place, decompose again. Strings with equal skeletons look the same. The table is Unicode's own, as the ICU
+library beside Spark holds it, or any other. The ordinary form of a string is spelled back from the same prototypes: each word
+is written in the letters of one script, the one its unmistakable letters belong to.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Prototype letter, then the letters that look like it. Latin letters are the prototypes.
+# Prototype letter, then the letters of other alphabets in use that are taken for it, by which words are spelled.
 LOOKALIKES = {
     "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ЕΕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈͿᎫ",
     "K": "КΚᏦ", "L": "Ꮮ", "M": "МΜᎷ", "N": "Ν", "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "U": "Ս", "V": "ѴᏙ",
@@ -32,6 +33,9 @@ SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE")
 UNSEEN = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0x180B, 0x180F), *range(0xE0100, 0xE01F0)}
 #: Blocks of letters, digits and signs of another width or style, ligatures: their compatibility form is the ordinary one.
 STYLED = ((0xFF01, 0xFFEE), (0xFB00, 0xFB06), (0x1D400, 0x1D7FF), (0x2460, 0x24FF))
+#: Scripts in wide use, by the first word of their letters' names: their own letters stay, whatever they look like.
+LIVING = set("LATIN CYRILLIC GREEK ARMENIAN CHEROKEE GEORGIAN HEBREW ARABIC DEVANAGARI BENGALI GURMUKHI GUJARATI ORIYA TAMIL TELUGU KANNADA MALAYALAM SINHALA THAI LAO TIBETAN MYANMAR KHMER ETHIOPIC HANGUL HIRAGANA KATAKANA BOPOMOFO CJK IDEOGRAPHIC HALFWIDTH FULLWIDTH".split())
+SMALL_CAPITAL = re.compile("LATIN LETTER SMALL CAPITAL ([A-Z])")
 WORD = re.compile(r"(?:[^\W\d_][̀-ͯ]*)+")
 
 
@@ -65,13 +69,58 @@ def _basic(ch: str) -> str:
         return ""
     if any(a <= code <= b for a, b in STYLED):
         return unicodedata.normalize("NFKC", ch)
+    if kind in ("Lu", "Ll", "Nl") and code > 0x2000:  # letter-like signs and number forms
+        plain_letters = unicodedata.normalize("NFKC", ch)
+        if plain_letters.isascii() and plain_letters.isalpha():
+            return plain_letters
+    if kind == "Ll" and (m := SMALL_CAPITAL.fullmatch(unicodedata.name(ch, ""))):
+        return m[1].lower()
     return ch
 
 
-def skeleton(text: str) -> str:
+class _Basics(dict):
+    """What _basic makes of each code point, filled as they come: str.translate asks it once for each."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = _basic(chr(code))
+        return out
+
+
+BASICS = _Basics()
+#: Letters that need a look at the script of their word: all of the scripts but Latin, and look-alikes.
+TELLING = re.compile("[" + "".join(re.escape(ch) for ch in sorted({*PROTOTYPE, *(chr(c) for r in ((0x370, 0x1400), (0x1C80, 0x2000), (0xA640, 0xAC00)) for c in range(*r) if script(chr(c)) not in (None, "LATIN"))})) + "]")
+_tables: dict[int, dict[str, str]] = {}
+
+
+def confusables(spark: SparkSession) -> dict[str, str]:
+    """Unicode's table of look-alikes: characters and their prototypes, from ICU in the driver's JVM; empty where that lacks it."""
+    if id(spark._jvm) not in _tables:
+        chars = [chr(c) for c in range(0x21, 0x20000) if unicodedata.category(chr(c))[0] in "LNPSM"]
+        table: dict[str, str] = {}
+        try:
+            checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+            for i in range(0, len(chars), 4096):
+                part = chars[i : i + 4096]
+                protos = checker.getSkeleton("\n".join(part)).split("\n")
+                if len(protos) == len(part):
+                    table |= {ch: p for ch, p in zip(part, protos, strict=True) if p != unicodedata.normalize("NFD", ch)}
+        except TypeError:  # a class that isn't there is a package to the gateway, which can't be called
+            table = {}
+        _tables[id(spark._jvm)] = table
+    return _tables[id(spark._jvm)]
+
+
+def foreign(table: dict[str, str]) -> dict[str, str]:
+    """Of the table the letters of scripts that few write today and that look like one Latin letter."""
+    return {ch: p for ch, p in table.items() if len(p) == 1 and p.isascii() and p.isalpha() and unicodedata.category(ch)[0] == "L" and unicodedata.name(ch, "CJK").partition(" ")[0] not in LIVING}
+
+
+def skeleton(text: str, table: dict[str, str] | None = None) -> str:
     """Decomposed, each character replaced by its prototype, decomposed again."""
-    basic = "".join(map(_basic, unicodedata.normalize("NFD", text)))
-    return unicodedata.normalize("NFD", "".join(PROTOTYPE.get(ch, ch) for ch in unicodedata.normalize("NFD", basic)))
+    table = table or {}
+    proto = lambda ch: table.get(PROTOTYPE.get(ch, ch), PROTOTYPE.get(ch, ch)) if ch not in table else table[ch]
+    basic = unicodedata.normalize("NFD", text).translate(BASICS)
+    return unicodedata.normalize("NFD", "".join(map(proto, unicodedata.normalize("NFD", basic))))
 
 
 @lru_cache(maxsize=65536)
@@ -98,17 +147,22 @@ def _most(counts: dict[str, int]) -> str | None:
     return min(counts, key=lambda s: (-counts[s], SCRIPTS.index(s))) if counts else None
 
 
-def plain(text: str) -> str:
+def plain(text: str, strange: dict[str, str] | None = None) -> str:
     """The ordinary form: normal width, composed accents, ordinary spaces, nothing invisible, each word in one script.
 
+    strange are letters of rare scripts with their prototypes (see foreign): among other letters they stand for these.
+
     A word of which every letter has look-alikes is in the script of the name: that of most of its unmistakable letters, or of
     most letters where there are none. A word all in one script that the name surely uses elsewhere stays as it is.
     """
     if text.isascii():
         return text
-    basic = unicodedata.normalize("NFD", "".join(map(_basic, unicodedata.normalize("NFD", text))))
-    words = WORD.findall(basic)
-    if any(script(ch) not in (None, "LATIN") or ch in PROTOTYPE for w in words for ch in w):
+    basic = unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(BASICS))
+    if strange and not strange.keys().isdisjoint(basic):
+        mixed = lambda word: any(script(ch) for ch in word)
+        basic = WORD.sub(lambda m: "".join(strange.get(ch, ch) for ch in m[0]) if mixed(m[0]) else m[0], basic)
+    if TELLING.search(basic):
+        words = WORD.findall(basic)
         every: dict[str, int] = {}
         for ch in basic:
             if s := script(ch):
@@ -152,13 +206,23 @@ def _over(fn):
     return run
 
 
-def plain_form(string: Column | str) -> Column:
-    """The ordinary form of a string column; null stays null, ASCII passes by without leaving Arrow."""
-    return F.arrow_udf(_over(plain), "string")(string)
+def _session_table(table: dict[str, str] | None) -> dict[str, str]:
+    if table is not None:
+        return table
+    spark = SparkSession.getActiveSession()
+    return confusables(spark) if spark else {}
+
+
+def plain_form(string: Column | str, table: dict[str, str] | None = None) -> Column:
+    """The ordinary form of a string column; null stays null, ASCII doesn't leave the JVM. table is Unicode's by default."""
+    s = F.col(string) if isinstance(string, str) else string
+    spelled = F.arrow_udf(_over(partial(plain, strange=foreign(_session_table(table)))), "string")
+    return F.coalesce(spelled(F.when(F.octet_length(s) > F.char_length(s), s)), s)
 
 
-def skeleton_form(string: Column | str) -> Column:
-    return F.arrow_udf(lambda column: pa.array([None if s is None else skeleton(s) for s in column.to_pylist()], pa.string()), "string")(string)
+def skeleton_form(string: Column | str, table: dict[str, str] | None = None) -> Column:
+    of = partial(skeleton, table=_session_table(table))
+    return F.arrow_udf(lambda column: pa.array([None if s is None else of(s) for s in column.to_pylist()], pa.string()), "string")(string)
 
 
 def ordinary_forms(df: DataFrame, id_col: str = "row_id", string_col: str = "string") -> DataFrame:

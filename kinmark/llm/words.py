@@ -13,7 +13,8 @@ LETTER = r"\p{L}\p{Nd}"
 def normal_text(string: Column | str) -> Column:
     """P2 form, lower case, dots and apostrophes inside words dropped, one space between words; '' where no word is left."""
     low = F.lower(plain_form(string))
-    joined = F.regexp_replace(low, rf"(?<=[{LETTER}])[.'’](?=[{LETTER}])", "")
+    marked = low.contains(".") | low.contains("'") | low.contains("’")
+    joined = F.when(marked, F.regexp_replace(low, rf"(?<=[{LETTER}])[.'’](?=[{LETTER}])", "")).otherwise(low)
     return F.trim(F.regexp_replace(joined, rf"[^{LETTER}]+", " "))
 
 

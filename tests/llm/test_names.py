@@ -54,6 +54,17 @@ def test_plain_forms(spark):
     assert [(r["first"], r["strings"], r["rows"]) for r in both] == [("Co", 2, 3)]
 
 
+STRANGE = [("Ⅼimited", "Limited"), ("ℓabs", "labs"), ("ᴀcme", "acme"), ("ꓐank", "Bank"), ("ⲟne", "one"), ("ᖇetail", "Retail"), ("ꜱtore", "store"), ("ꓐꓮꓠꓗ", "ꓐꓮꓠꓗ"), ("Straße þór", "Straße þór"), ("ニへロ", "ニへロ"), ("1º", "1º")]
+
+
+def test_letters_of_other_tables(spark):
+    rows = spark.createDataFrame([(i, s, 0) for i, (s, _) in enumerate(STRANGE)], "row_id long, string string, plain int")
+    got = rows.select("row_id", lookalike.plain_form("string").alias("p"), lookalike.skeleton_form("string").alias("k")).collect()
+    assert [r["p"] for r in sorted(got)] == [p for _, p in STRANGE]
+    table = lookalike.confusables(spark)
+    assert len(table) > 4000 and [r["k"] for r in sorted(got)[:7]] == [lookalike.skeleton(p, table) for _, p in STRANGE[:7]]
+
+
 def test_linked_strings(spark):
     schema = "string0 string, string1 string, group0 string, group1 string, id long, rep string"
     rows = [("b", "c", "a", None), ("c", "b", None, None), ("c", "d", None, "e"), ("x", "x", None, None), ("y", None, None, None), ("", "z", None, None), ("hub", "z", None, "hub")]
