@@ -3,11 +3,13 @@
 A unit vector is pseudo-rotated (three rounds of random signs and a fast Hadamard transform) and hashed to the nearest of the
 signed axes. Buckets that hold more than a task should are parted again by further cross-polytopes around their own mean, so
 bucket sizes stay even whatever the number of vectors and however dense a cluster. Each vector looks into its own bucket and
-into the next nearest ones; cosines there are exact, and the best of all tables are kept.
+into the next nearest ones; cosines there are exact, and the best of all tables are kept. Tables are added until the recall that
+is measured on a sample of vectors, against all others, is as asked for.
 """
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 import numpy as np
@@ -20,10 +22,24 @@ from pyspark.sql.window import Window as W
 from ..plans.skew import join_unique
 from ..plans.storage import Scratch
 
-DIM, TABLES, TARGET, LIMIT, GAP, LEVELS, BASE = 64, 3, 1500, 4096, 0.1, 7, 131
+DIM, TARGET, LIMIT, GAP, LEVELS, BASE = 64, 1500, 4096, 0.1, 7, 131
+#: At most so many buckets of a table are parted by all tasks alike; with more vectors tasks hold larger ones and part them by themselves.
+PARTED, DEPTH = 20_000, 16
+#: Tables at least and at most, recall asked for, and vectors it is measured on.
+TABLES, MOST_TABLES, RECALL, SAMPLE = 3, 64, 0.95, 256
 Plan = dict[int, tuple[int, "np.ndarray | None"]]
 
 
+def axes(n: int, target: int = TARGET) -> int:
+    """A power of two of axes that part n vectors into buckets of about `target`."""
+    return max(1, min(DIM, 2 ** round(np.log2(max(n / (2 * target), 1)))))
+
+
+def most_of(total: int) -> int:
+    """Vectors of a bucket that isn't parted for all tasks."""
+    return max(LIMIT, total // PARTED)
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of the rows, of a length that is a power of two, scaled to keep lengths."""
     n, step = x.shape[1], 1
@@ -126,21 +142,20 @@ def units(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def bucket_plan(vectors: DataFrame, table: int, total: int) -> tuple[Plan, dict[int, int]]:
     """How the table's buckets are parted, and the sizes of those that stay larger than a task should hold.
 
-    A level sends to the driver only buckets above LIMIT, with their means: at most total / LIMIT of them.
+    A level sends to the driver only buckets above most_of(total), with their means: at most PARTED of them, 6 MB.
     """
-
-    def axes(n: int) -> int:
-        return max(1, min(DIM, 2 ** round(np.log2(max(n / (2 * TARGET), 1)))))
-
-    plan: Plan = {0: (axes(total), None)}
+    most = most_of(total)
+    target = TARGET * most // LIMIT
+    plan: Plan = {0: (axes(total, target), None)}
     big: dict[int, int] = {}
     for _ in range(LEVELS - 1):
+        shared = vectors.sparkSession.sparkContext.broadcast(plan)
 
-        def count(batches, plan=plan):
+        def count(batches, shared=shared):
             sums: dict[int, list] = {}
             for b in batches:
                 u = _matrix(b.column("u"))
-                own = codes(u, table, plan)[0][1]
+                own = codes(u, table, shared.value)[0][1]
                 order = np.argsort(own, kind="stable")
                 values, starts, counts = np.unique(own[order], return_index=True, return_counts=True)
                 means = np.add.reduceat(u[order].astype(np.float64), starts, axis=0)
@@ -154,21 +169,66 @@ def bucket_plan(vectors: DataFrame, table: int, total: int) -> tuple[Plan, dict[
 
         found = vectors.select("u").mapInArrow(count, "code long, n long, s array<double>")
         parts = found.select("code", "n", F.posexplode("s").alias("i", "x")).groupBy("code", "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-        rows = parts.where(F.col("n") > LIMIT).groupBy("code").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s")).collect()
+        rows = parts.where(F.col("n") > most).groupBy("code").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s")).collect()
         big = {r["code"]: r["n"] for r in rows}
-        fresh = {r["code"]: (axes(r["n"]), np.array([x["x"] for x in r["s"]], np.float32) / r["n"]) for r in rows}
+        fresh = {r["code"]: (axes(r["n"], target), np.array([x["x"] for x in r["s"]], np.float32) / r["n"]) for r in rows}
         if not fresh:
             break
         plan = plan | fresh
     return plan, {c: n for c, n in big.items() if c not in plan}
 
 
+def best_in(u: np.ndarray, ids: np.ndarray, base: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(q, n, cos): of each row of u its k nearest among the base rows, which are parted further where they are more than LIMIT.
+
+    Rows look into their part and, near a turn, into the second one. Parts that can't be made smaller are searched whole.
+    """
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def whole(own: np.ndarray, asked: np.ndarray) -> None:
+        for a in range(0, len(asked), 512):
+            for b in range(0, len(own), 1 << 14):
+                q, o = asked[a : a + 512], own[b : b + (1 << 14)]
+                s = u[q] @ u[o].T
+                s[q[:, None] == o[None, :]] = -2
+                m = min(k, len(o))
+                top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(o) else np.broadcast_to(np.arange(m), (len(q), m))
+                cos = np.take_along_axis(s, top, 1)
+                keep = cos > -2
+                out.append((np.repeat(q, m)[keep.ravel()], o[top][keep], cos[keep]))
+
+    stack = [(np.flatnonzero(base), np.arange(len(u)), 0)]
+    while stack:
+        own, asked, depth = stack.pop()
+        if not len(own) or not len(asked):
+            continue
+        if len(own) <= LIMIT or depth == DEPTH:
+            whole(own, asked)
+            continue
+        d, mean = axes(len(own)), u[own].mean(0)
+        first, second, gap = nearest_axes(rotate(u[asked] - mean, seed + depth)[:, :d])
+        mine = np.full(len(u), -1)
+        mine[asked] = first  # every base row asks as well
+        for c in np.unique(mine[own]).tolist():
+            stack.append((own[mine[own] == c], np.concatenate((asked[first == c], asked[(second == c) & (gap < GAP)])), depth + 1))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    q, n, cos = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.lexsort((ids[n], -cos, q))
+    q, n, cos = q[order], n[order], cos[order]
+    start = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(start, np.diff(np.concatenate((start, [len(q)]))))
+    return ids[q[place < k]], ids[n[place < k]], cos[place < k].astype(np.float32)
+
+
 def table_neighbours(vectors: DataFrame, table: int, total: int, k: int) -> DataFrame:
     """(q, n, cos): of each vector its k nearest in each bucket that it looks into."""
     plan, big = bucket_plan(vectors, table, total)
-    blocks = {c: -(-n // LIMIT) for c, n in big.items()}
+    most = most_of(total)
+    shared = vectors.sparkSession.sparkContext.broadcast((plan, {c: -(-n // most) for c, n in big.items()}))
 
     def place(batches):
+        plan, blocks = shared.value
         for b in batches:
             u = _matrix(b.column("u"))
             if not len(u):
@@ -191,33 +251,49 @@ def table_neighbours(vectors: DataFrame, table: int, total: int, k: int) -> Data
             yield pa.record_batch([pa.array(code), pa.array(block), pa.array(base), b.column("id").take(pa.array(rows)), b.column("u").take(pa.array(rows))], names=["code", "block", "base", "id", "u"])
 
     def near(group: pa.Table) -> pa.Table:
-        ids, base = group.column("id").to_numpy(), group.column("base").to_numpy()
-        u = _matrix(group.column("u").combine_chunks())
-        own, inside = ids[base], np.ascontiguousarray(u[base].T)
-        out_q, out_n, out_c = [], [], []
-        for start in range(0, len(ids) if len(own) else 0, 512):
-            q = ids[start : start + 512]
-            s = u[start : start + 512] @ inside
-            s[q[:, None] == own[None, :]] = -2
-            m = min(k, len(own))
-            top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(own) else np.broadcast_to(np.arange(m), (len(q), m))
-            cos = np.take_along_axis(s, top, 1)
-            keep = cos > -2
-            out_q.append(np.repeat(q, m)[keep.ravel()])
-            out_n.append(own[top][keep])
-            out_c.append(cos[keep])
-        join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.array([], kind)
-        return pa.table({"q": join(out_q, np.int64), "n": join(out_n, np.int64), "cos": join(out_c, np.float32)})
+        found = best_in(_matrix(group.column("u").combine_chunks()), group.column("id").to_numpy(), group.column("base").to_numpy(), k, 1000 * table + 500)
+        return pa.table(dict(zip(("q", "n", "cos"), found, strict=True)))
 
     placed = vectors.mapInArrow(place, "code long, block int, base boolean, id long, u array<float>")
     return placed.groupBy("code", "block").applyInArrow(near, "q long, n long, cos float")
 
 
-def nearest_vectors(df: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "v", tables: int = TABLES) -> DataFrame:
+class Sample:
+    """The recall of what is found so far, on SAMPLE vectors that are compared with all others."""
+
+    def __init__(self, vectors: DataFrame, k: int):
+        rows = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+        self.k, self.ids = k, [r["id"] for r in rows]
+        self.found: dict[int, dict[int, float]] = {i: {} for i in self.ids}
+        own, u = np.array(self.ids, np.int64), np.array([r["u"] for r in rows], np.float32).reshape(-1, DIM)
+
+        def exact(batches):
+            best = np.full((len(own), k), -2, np.float32)
+            for b in batches:
+                s = u @ _matrix(b.column("u")).T
+                s[own[:, None] == b.column("id").to_numpy(zero_copy_only=False)[None, :]] = -2
+                best = -np.sort(-np.concatenate((best, s), axis=1), axis=1)[:, :k]
+            yield pa.RecordBatch.from_pydict({"q": np.repeat(own, k), "cos": best.ravel()})
+
+        each = vectors.mapInArrow(exact, "q long, cos float").where("cos > -2")
+        top = each.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("cos")))).where(F.col("r") <= k)
+        self.least = {r["q"]: (r["least"], r["n"]) for r in top.groupBy("q").agg(F.min("cos").alias("least"), F.count("*").alias("n")).collect()}
+
+    def add(self, table: DataFrame) -> float:
+        """The share of the sample's k nearest that are found with this table."""
+        for r in table.where(F.col("q").isin(self.ids)).collect():
+            self.found[r["q"]][r["n"]] = r["cos"]
+        hits = sum(min(n, sum(c >= least - 1e-6 for c in self.found[q].values())) for q, (least, n) in self.least.items())
+        return hits / max(1, sum(n for _, n in self.least.values()))
+
+
+def nearest_vectors(df: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "v", recall: float = RECALL, tables: int = TABLES) -> DataFrame:
     """(id, near): of every usable vector the ids of its k most similar others, best first, ties to the smaller id.
 
     Usable are vectors of 64 finite numbers that are not all zero; others give no row and are nobody's neighbour. Vectors of
-    one direction are searched once: each of them gets the k smallest others of its kind before anything else.
+    one direction are searched once: each of them gets the k smallest others of its kind before anything else. There are
+    `tables` tables, and more while the recall on a sample is below `recall`; what is reached is logged. Where MOST_TABLES
+    aren't enough for that, a warning says so: such data has no near neighbours to speak of, and operators.vectors is exact.
     """
     scratch = Scratch(df.sparkSession)
     every = scratch.write(units(df, id_col, vec_col))
@@ -227,10 +303,14 @@ def nearest_vectors(df: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col:
     vectors = scratch.write(vectors)
     scratch.drop(every, kinds)
     total = vectors.count()
-    found = []
-    for t in range(tables if total else 0):
-        found.append(scratch.write(table_neighbours(vectors, t, total, k)))
-        scratch.drop()
+    found, reached, sample = [], 0.0, Sample(vectors, k) if total else None
+    while sample and (len(found) < tables or reached < recall) and len(found) < MOST_TABLES:
+        found.append(scratch.write(table_neighbours(vectors, len(found), total, k)))
+        reached = sample.add(found[-1])
+    log = logging.getLogger(__name__)
+    if found and reached < recall:
+        log.warning("recall %.3f after %d tables, asked for %.3f", reached, len(found), recall)
+    log.info("recall %.3f on a sample of %d with %d tables", reached, len(sample.ids) if sample else 0, len(found))
     if not found:
         return vectors.select(F.col("id").alias(id_col), F.array("id").alias("near")).where("false")
     scratch.drop(vectors)

@@ -26,14 +26,41 @@ def test_neighbours_recall_and_edge_cases(spark):
     assert neighbours.neighbour_pairs(spark.createDataFrame([], "vec_id long, v array<float>")).count() == 0
 
 
-def test_blocks_of_a_bucket_that_cannot_be_parted(spark, monkeypatch):
+def exact_top(v, k=5):
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cos = u @ u.T
+    np.fill_diagonal(cos, -2)
+    return np.argsort(-cos, axis=1)[:, :k]
+
+
+def recall_of(spark, v):
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<float>")
+    got = {r["vec_id"]: r["near"] for r in neighbours.nearest_vectors(df).collect()}
+    return np.mean([len(set(t) & set(got[i])) / 5 for i, t in enumerate(exact_top(v))])
+
+
+def test_tables_are_added_for_vectors_without_clusters(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LIMIT", 256)
+    monkeypatch.setattr(neighbours, "TARGET", 100)
+    assert recall_of(spark, np.random.default_rng(3).normal(size=(3000, 64))) >= 0.9
+
+
+def test_buckets_that_cannot_be_parted_are_searched_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "bucket_plan", lambda vectors, table, total: ({0: (1, None)}, {1: total, 2: total}))
     monkeypatch.setattr(neighbours, "LIMIT", 16)
-    monkeypatch.setattr(neighbours, "LEVELS", 1)
-    rng = np.random.default_rng(4)
-    u = rng.normal(size=(90, 64))
-    u = u / np.linalg.norm(u, axis=1, keepdims=True)
-    plan, sizes = {0: (1, None)}, None
-    assert neighbours.codes(u.astype(np.float32), 0, plan)[0][1].shape == (90,) and sizes is None
+    assert recall_of(spark, np.random.default_rng(4).normal(size=(90, 64))) >= 0.9
+
+
+def test_parting_inside_a_task():
+    rng = np.random.default_rng(5)
+    v = (rng.normal(size=(100, 1, 64)) + 0.2 * rng.normal(size=(100, 120, 64))).reshape(-1, 64)
+    u = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    ids, base = np.arange(len(u)) * 7, np.arange(len(u)) % 3 > 0
+    q, n, cos = neighbours.best_in(u, ids, base, 5, 1)
+    assert np.bincount(q // 7).max() == 5 and base[n // 7].all() and (q != n).all()
+    s = u @ u[base].T
+    s[np.flatnonzero(base), np.arange(base.sum())] = -2
+    assert np.mean(cos >= -np.sort(-s, axis=1)[q // 7, 4] - 1e-6) > 0.9
 
 
 def test_packing():
@@ -110,6 +137,9 @@ CASES = [
     ("Content-Type: multipart/mixed; boundary=\"b1\"\n\n--b1\nContent-Type: text/html\n\n<p>No.</p>\n--b1\nContent-Type: text/plain\n\nYes. 🙂 Done.\n--b1--\nTail.", ["Yes.", "🙂 Done."]),
     ("Content-Type: text/plain\nContent-Transfer-Encoding: base64\n\nQUJD\n", []), ("Content-Type: multipart/mixed; boundary=b\n\n--b\nContent-Type: text/html\n\nNo.\n", []), ("", []), (None, []), ("   \n", []),
     ("From a@b Mon\nTo: x\n", []),
+    ("Hello my friend, the word สวัสดี means hello. Thanks for the note.", ["Hello my friend, the word สวัสดี means hello.", "Thanks for the note."]),
+    ("The U.S. Senate met. It left the U.K. Still, Jan. 5 is fine. Vgl. Seite 5. See https://a.example/x.y?q=1.5" + "/z" * 200 + ".Html now. Www.b.example is down.", ["The U.S. Senate met.", "It left the U.K.", "Still, Jan. 5 is fine.", "Vgl. Seite 5.", "See https://a.example/x.y?q=1.5" + "/z" * 200 + ".Html now.", "Www.b.example is down."]),
+    ("Բարեւ ձեզ։ Ինչպես եք։", ["Բարեւ ձեզ։", "Ինչպես եք։"]), ("გამარჯობა. როგორ ხარ?", ["გამარჯობა.", "როგორ ხარ?"]), ("សួស្តី។ អរគុណ។", ["សួស្តី។", "អរគុណ។"]), ("ሰላም።እንዴት ነህ።", ["ሰላም።", "እንዴት ነህ።"]), ("မင်္ဂလာပါ။နေကောင်းလား။", ["မင်္ဂလာပါ။", "နေကောင်းလား။"]),
 ]
 
 
