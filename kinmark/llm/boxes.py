@@ -15,6 +15,9 @@ from ..plans.skew import ranks
 from ..plans.storage import Scratch
 from .tokens import VOCABULARY, token_count
 
+#: Rows of a plan that are broadcast, 50 MB of them; a longer plan is shuffled.
+SENT = 500_000
+
 
 def pack(sizes: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
     """Runs (number of boxes, {size: items of it in each}) that hold all items of sizes {size: number}, none above capacity.
@@ -127,13 +130,16 @@ def filled_boxes(documents: DataFrame, boxes: DataFrame, vocabulary: str = VOCAB
         found, n = segments({r["rest"]: r["k"] for r in counted if r["box"] == box}, capacity)
         rows += [(box, *x) for x in found]
         used.append((box, n))
-    plan = F.broadcast(spark.createDataFrame(rows, "box string, rest long, first long, after long, at long, each long"))
+    plan = spark.createDataFrame(rows, "box string, rest long, first long, after long, at long, each long")
+    plan = F.broadcast(plan) if len(rows) <= SENT else plan
     first_whole = F.broadcast(spark.createDataFrame(used, "box string, packed long"))
-    rests = ranks(each.where("rest > 0").select("box", "capacity", "_id", "n", "whole", "rest"), ["box", "rest"], F.col("_id"))
+    most = max((r["k"] for r in counted), default=0)
+    rests = ranks(each.where("rest > 0").select("box", "capacity", "_id", "n", "whole", "rest"), ["box", "rest"], F.col("_id"), most=most)
     placed = rests.join(plan.withColumnsRenamed({"box": "b", "rest": "r"}), F.expr("b = box AND r = rest AND rank >= first AND rank < after")).select(
         "box", F.expr("at + (rank - first) DIV each").alias("bin"), "_id", F.col("whole").alias("part"), F.expr("whole * capacity").alias("start_token"), F.col("rest").alias("tokens")
     )
-    wholes = ranks(each.where("whole > 0"), ["box"], F.col("_id"), F.col("whole")).join(first_whole, "box")
+    long_texts = each.where("whole > 0")
+    wholes = ranks(long_texts, ["box"], F.col("_id"), F.col("whole"), most=sum(r["k"] for r in counted)).join(first_whole, "box")
     wholes = wholes.select("*", F.explode(F.expr("sequence(0L, whole - 1)")).alias("part")).select(
         "box", F.expr("packed + rank + part").alias("bin"), "_id", "part", F.expr("part * capacity").alias("start_token"), F.col("capacity").alias("tokens")
     )

@@ -59,6 +59,12 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped_splits(table(spark, sf_dir, "matcher"), table(spark, sf_dir, "split_shares")).select("row_id", "split")
 
 
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .splits import split_report
+
+    return split_report(p4_splits(spark, sf_dir), table(spark, sf_dir, "matcher"), table(spark, sf_dir, "split_shares"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .variants import link_variants
 
@@ -116,11 +122,15 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    p1_found, p1_values, p1_sources, p2_found, p2_skeletons, p3_found, p4_found, p4_splits, p5_found, p6_found, p6_collapsed, p7_found,
+    p1_found, p1_values, p1_sources, p2_found, p2_skeletons, p3_found, p4_found, p4_splits, p4_report, p5_found, p6_found, p6_collapsed, p7_found,
     p8_boxes, p8_report, p9_mix, p9_report, p10_found,
 )}
 
 SQL: dict[str, str] = {
+    # totals are the shares of all rows, to within a row, and no group is parted
+    "p4_report": """
+        SELECT split, share, CAST(round(share / (SELECT sum(share) FROM split_shares) * (SELECT count(*) FROM matcher)) AS BIGINT) AS rows,
+          round(share / (SELECT sum(share) FROM split_shares), 4) AS reached, CAST(0 AS BIGINT) AS parted FROM split_shares""",
     "p1_found": """
         WITH once AS (SELECT "group", string, "count" AS n, feed, seen_at, min(row_id) AS row_id FROM matcher
                       WHERE "group" IS NOT NULL AND string IS NOT NULL GROUP BY ALL),

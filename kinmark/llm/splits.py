@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.skew import join_unique, ranks
+from ..plans.skew import join_each, join_unique, ranks
 from ..plans.storage import Scratch
 from .copies import fingerprints
 
@@ -38,18 +38,23 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def labels_by_words(df: DataFrame, id_col: str, string_col: str, group_col: str) -> DataFrame:
-    """(fp1, fp2, label, n): the labels with whose rows the same words occur; rows without words or group count nowhere."""
-    rows = fingerprints(df, id_col, string_col, group_col)
-    return rows.where(F.col(f"_x_{group_col}").isNotNull()).groupBy("fp1", "fp2", F.col(f"_x_{group_col}").alias("label")).agg(F.count("*").alias("n"))
+    """(fp1, fp2, label, n, words, last): the labels with whose rows the same words occur, and the first and the last of their word
+    lists, which are equal unless fingerprints collide. Rows without words or group count nowhere."""
+    rows = fingerprints(df, id_col, string_col, group_col).where(F.col(f"_x_{group_col}").isNotNull())
+    rows = rows.withColumn("words", F.array_join(F.array_sort(F.split("norm", " ")), " "))
+    return rows.groupBy("fp1", "fp2", F.col(f"_x_{group_col}").alias("label")).agg(F.count("*").alias("n"), F.min("words").alias("words"), F.max("words").alias("last"))
 
 
 def related(memberships: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     """(fp1, fp2, label, component) where two or more labels share words, and the seed of the label hashes.
 
-    A component is the smallest hash among its labels. Should two labels share a hash another seed is taken.
+    Words are compared in full: two word lists of one fingerprint would fail by name. A component is the smallest hash among
+    its labels. Should two labels share a hash another seed is taken.
     """
-    shared = memberships.groupBy("fp1", "fp2").agg(F.count("*").alias("labels")).where("labels > 1")
-    shared = scratch.write(memberships.join(shared.select("fp1", "fp2"), ["fp1", "fp2"]).select("fp1", "fp2", "label"))
+    shared = memberships.groupBy("fp1", "fp2").agg(F.count("*").alias("labels"), F.min("words").alias("one"), F.max("last").alias("other")).where("labels > 1")
+    clash = F.raise_error(F.concat(F.lit("fingerprints collide: "), F.col("one"), F.lit(" / "), F.col("other"))).cast("long")
+    shared = shared.select("fp1", "fp2", F.when(F.col("one") == F.col("other"), F.col("labels")).otherwise(clash).alias("labels"))
+    shared = scratch.write(join_unique(memberships.select("fp1", "fp2", "label"), shared, ["fp1", "fp2"], "labels", scratch=scratch).select("fp1", "fp2", "label"))
     for seed in range(SEEDS):
         ids = shared.select("label").distinct().withColumn("id", F.xxhash64("label", F.lit(seed)))
         if ids.groupBy("id").count().where("count > 1").isEmpty():
@@ -65,12 +70,13 @@ def related(memberships: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
 def related_pairs(df: DataFrame, id_col: str = "row_id", string_col: str = "string", group_col: str = "group") -> DataFrame:
     """(group0, group1), the first first by code point: different labels with the same words in a row of each.
 
-    The pairs are of one component each. There are as many as the statement asks for: a key with many labels gives all of its pairs.
+    The pairs are the links inside each component. There are as many as the statement asks for: words with many labels give all
+    of their pairs, in several tasks where there are very many labels.
     """
     scratch = Scratch(df.sparkSession)
     members, _ = related(labels_by_words(df, id_col, string_col, group_col), scratch)
     other = members.select("fp1", "fp2", "component", F.col("label").alias("group1"))
-    pairs = members.withColumnRenamed("label", "group0").join(other, ["component", "fp1", "fp2"]).where("group0 < group1")
+    pairs = join_each(members.withColumnRenamed("label", "group0"), other, ["component", "fp1", "fp2"]).where("group0 < group1")
     return pairs.select("group0", "group1").distinct()
 
 
@@ -258,10 +264,21 @@ def grouped_splits(df: DataFrame, shares: DataFrame, id_col: str = "row_id", str
     sizes = {r["size"]: r["n"] for r in units.groupBy("size").agg(F.count("*").alias("n")).collect()}
     wanted = [(r["split"], r["share"]) for r in shares.select("split", "share").where("share > 0").orderBy("split").collect()]
     plan = spark.createDataFrame(plan_splits(sizes, wanted) if wanted else [], "size long, split string, first long, after long")
-    ranked = ranks(units, ["size"], F.col("unit"))
+    ranked = ranks(units, ["size"], F.col("unit"), most=max(sizes.values(), default=0))
     placed = ranked.join(F.broadcast(plan.withColumnRenamed("size", "s")), F.expr("s = size AND rank >= first AND rank < after")).select("unit", "size", "split")
     return join_unique(rows, scratch.write(placed), ["unit"], "size").select(F.col("_id").alias(id_col), "split", "unit")
 
 
+def split_report(rows: DataFrame, df: DataFrame, shares: DataFrame, id_col: str = "row_id", group_col: str = "group") -> DataFrame:
+    """(split, share, rows, reached, parted): rows and their share in each split, and how many of all groups are in more than one."""
+    sums = rows.groupBy("split").agg(F.count("*").alias("rows"))
+    whole = rows.agg(F.count("*").alias("whole"))
+    grouped = df.where(F.col(group_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(group_col).alias("g"))
+    of = grouped.join(rows.select(F.col(id_col).alias("_id"), "split"), "_id").groupBy("g").agg(F.min("split").alias("a"), F.max("split").alias("b"))
+    parted = of.agg(F.count_if(F.col("a") != F.col("b")).alias("parted"))
+    each = shares.select("split", "share").join(F.broadcast(sums), "split", "left").join(F.broadcast(whole)).join(F.broadcast(parted))  # a row for each split
+    return each.select("split", "share", F.coalesce("rows", F.lit(0)).alias("rows"), F.round(F.coalesce("rows", F.lit(0)) / F.col("whole"), 4).alias("reached"), "parted")
+
+
 def join_units(words: DataFrame, labelled: DataFrame) -> DataFrame:
     return words.select("fp1", "fp2", F.col("label").alias("g")).join(labelled.select("g", "unit"), "g")
