@@ -6,7 +6,8 @@ as the capacity has units. A plan is a list of runs of equal boxes; items then f
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,9 +23,8 @@ SENT = 500_000
 def pack(sizes: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
     """Runs (number of boxes, {size: items of it in each}) that hold all items of sizes {size: number}, none above capacity.
 
-    Reduction: for the largest items on, the set of an item and the largest one that still fits is fixed where it dominates any
-    other set with that item: where nothing else fits, where both fill the box exactly, or where at most two more fit at once
-    and no two that fit together exceed that largest one. What is left is packed best-fit, largest first.
+    Reduction: for the largest items on, a set of an item and one or two others is fixed where it dominates any other set with
+    that item (see dominating). What is left is packed best-fit, largest first.
     """
     left = {s: n for s, n in sizes.items() if s > 0 and n > 0}
     runs: list[tuple[int, dict[int, int]]] = []
@@ -35,32 +35,48 @@ def pack(sizes: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]
             if not mates:
                 runs.append((left.pop(s), {s: 1}))
                 break
-            mate = mates[-1]
-            if mate != room and not _dominates(mates, left, s, mate, room):
+            fixed = dominating(mates, {x: left[x] - (x == s) for x in mates}, room)
+            if fixed is None:
                 break
-            n = left[s] // 2 if mate == s else min(left[s], left[mate])
-            runs.append((n, {s: 2} if mate == s else {s: 1, mate: 1}))
-            for x in (s, mate):
-                left[x] -= n
+            content = dict(Counter([s, *fixed]))
+            n = min(left[x] // k for x, k in content.items())
+            runs.append((n, content))
+            for x, k in content.items():
+                left[x] -= n * k
             left = {x: k for x, k in left.items() if k}
     return runs + _best_fit(left, capacity)
 
 
-def _dominates(mates: list[int], left: dict[int, int], s: int, mate: int, room: int) -> bool:
-    """Whether no two or more of the items that fit beside s take more room than mate alone: checked on pairs, three may not fit."""
-    if mates[0] * 2 > room:
-        return True
+def dominating(mates: list[int], there: dict[int, int], room: int) -> list[int] | None:
+    """One or two of the sizes `mates` (sorted, `there` of each) that fit into room and dominate all that fit: each other set can be
+    parted so that every part is at most one of them. Such a set may be fixed. None where three may fit, which isn't looked at.
+
+    One item does where it fills the room, or no two together take more than it. Two do, the largest and what still fits beside
+    it, where any two items are at most these one by one, or together at most the largest.
+    """
+    largest = mates[-1]
+    if largest == room or mates[0] + (mates[0] if there[mates[0]] > 1 else mates[1] if len(mates) > 1 else room) > room:
+        return [largest]
     if mates[0] * 3 <= room:
-        return False
+        return None
+
+    def beside(x: int, most: int) -> int | None:
+        """The largest size up to `most` that fits beside x."""
+        i = bisect_right(mates, min(room - x, most)) - 1
+        if i >= 0 and mates[i] == x and there[x] < 2:
+            i -= 1
+        return mates[i] if i >= 0 else None
+
+    second = beside(largest, largest)
     for x in mates:
         if 2 * x > room:
             break
-        i = bisect_left(mates, room - x + 1) - 1  # the largest that fits beside x
-        if i >= 0 and mates[i] == x and left[x] - (x == s) < 2:
-            i -= 1
-        if i >= 0 and x + mates[i] > mate:
-            return False
-    return True
+        other = beside(x, largest)
+        if other is None or other < x or x + other <= largest:
+            continue
+        if second is None or x > second:
+            return None
+    return [largest] if second is None or all((y := beside(x, largest)) is None or x + y <= largest for x in mates if 2 * x <= room) else [largest, second]
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:

@@ -146,8 +146,10 @@ def bucket_plan(vectors: DataFrame, table: int, total: int) -> tuple[Plan, dict[
     """
     most = most_of(total)
     target = TARGET * most // LIMIT
-    plan: Plan = {0: (axes(total, target), None)}
     big: dict[int, int] = {}
+    if total <= most:
+        return {}, big
+    plan: Plan = {0: (axes(total, target), None)}
     for _ in range(LEVELS - 1):
         shared = vectors.sparkSession.sparkContext.broadcast(plan)
 
@@ -292,7 +294,7 @@ def nearest_vectors(df: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col:
 
     Usable are vectors of 64 finite numbers that are not all zero; others give no row and are nobody's neighbour. Vectors of
     one direction are searched once: each of them gets the k smallest others of its kind before anything else. There are
-    `tables` tables, and more while the recall on a sample is below `recall`; what is reached is logged. Where MOST_TABLES
+    `tables` tables (one where a bucket holds all vectors, which is exact), and more while the recall on a sample is below `recall`; what is reached is logged. Where MOST_TABLES
     aren't enough for that, a warning says so: such data has no near neighbours to speak of, and operators.vectors is exact.
     """
     scratch = Scratch(df.sparkSession)
@@ -304,6 +306,7 @@ def nearest_vectors(df: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col:
     scratch.drop(every, kinds)
     total = vectors.count()
     found, reached, sample = [], 0.0, Sample(vectors, k) if total else None
+    tables = tables if total > most_of(total) else 1  # one bucket holds them all
     while sample and (len(found) < tables or reached < recall) and len(found) < MOST_TABLES:
         found.append(scratch.write(table_neighbours(vectors, len(found), total, k)))
         reached = sample.add(found[-1])

@@ -83,6 +83,12 @@ def p6_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapsed(table(spark, sf_dir, "matcher")).select("keep_id", "norm", "copies", "total")
 
 
+def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .copies import collapsed_records
+
+    return collapsed_records(table(spark, sf_dir, "matcher"), ["string", "group", "feed"])
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neighbours import neighbour_pairs
 
@@ -122,7 +128,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    p1_found, p1_values, p1_sources, p2_found, p2_skeletons, p3_found, p4_found, p4_splits, p4_report, p5_found, p6_found, p6_collapsed, p7_found,
+    p1_found, p1_values, p1_sources, p2_found, p2_skeletons, p3_found, p4_found, p4_splits, p4_report, p5_found, p6_found, p6_collapsed, p6_records, p7_found,
     p8_boxes, p8_report, p9_mix, p9_report, p10_found,
 )}
 

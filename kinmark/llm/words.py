@@ -19,7 +19,7 @@ def normal_text(string: Column | str) -> Column:
 
 
 def multiset_hash(words: Column, seed: int) -> Column:
-    """Sum of the words' hashes modulo 2^64, each hashed with its field name and the seed: any order gives the same."""
+    """Sum of the hashes of words, or of (field, value) pairs, modulo 2^64, each hashed with the seed: any order gives the same."""
     # in two halves of 32 bits, since sums of LONGs raise an error on overflow
     h = lambda w: F.xxhash64(F.lit("word"), w, F.lit(seed))
     low = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: (a + h(w).bitwiseAND(F.lit(0xFFFFFFFF))).bitwiseAND(F.lit(0x7FFFFFFFFFFFFF)))

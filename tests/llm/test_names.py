@@ -86,6 +86,16 @@ def test_copies(spark):
     assert copies.copies_found(df.where("false")).count() == 0
 
 
+def test_records_of_several_fields(spark):
+    rows = [(1, "A.B. Foods", None, "x y", "web", 0), (2, "foods, AB", 4, "X-Y", "Web", 0), (3, "x y", 1, "foods ab", "web", 0), (4, None, 1, "--", "web", 0), (5, "", 1, None, "web!", 0), (6, None, 1, None, "", 0)]
+    df = matcher(spark, rows)
+    got = {(r["keep_id"], r["copies"], r["total"], len(r["fields"])) for r in copies.collapsed_records(df, ["feed", "string", "group"]).collect()}
+    assert got == {(1, 1, 1, 3), (2, 1, 4, 3), (3, 1, 1, 3), (4, 2, 2, 1)}
+    assert copies.collapsed_records(df.where("false"), ["string"]).count() == 0
+    same = copies.collapsed_records(spark.createDataFrame([(1, "A  b", 1, "C"), (2, "a B.", None, "c ")], "row_id long, s string, count long, t string"), ["t", "s"]).collect()
+    assert [(r["keep_id"], r["copies"], r["total"]) for r in same] == [(1, 2, 2)]
+
+
 def test_related_labels_and_splits(spark):
     rows = [(1, "A B", 1, "g1", "x", 0), (2, "b a", 1, "g2", "x", 0), (3, "C", 1, "g2", "x", 0), (4, "c.", 1, "g3", "x", 0), (5, "b, a", 1, None, "x", 0), (6, None, 1, None, "x", 0), (7, "--", 1, "g4", "x", 0), (8, "--", 1, "g5", "x", 0)]
     rows += [(100 + i, f"name{i}", 1, f"u{i}" if i % 2 else None, "x", 0) for i in range(92)]

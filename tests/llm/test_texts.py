@@ -80,10 +80,47 @@ def test_packing():
             assert used == sizes
             least = -(-sum(s * k for s, k in sizes.items()) // capacity)
             assert sum(many for many, _ in runs) <= 1.25 * least + 2
+    assert boxes.dominating([3, 5], {3: 1, 5: 1}, 8) == [5, 3] and boxes.dominating([4, 5], {4: 2, 5: 1}, 8) is None and boxes.dominating([3, 6], {3: 1, 6: 1}, 7) == [6]
     assert sorted(boxes.pack({6: 2, 4: 2, 3: 1}, 10)) == [(1, {3: 1}), (2, {6: 1, 4: 1})]
     assert boxes.pack({}, 10) == []
 
 
+def least_boxes(items, capacity):
+    """The least number of boxes, by trying where each item may go."""
+    best = len(items)
+
+    def put(i, loads):
+        nonlocal best
+        if len(loads) >= best:
+            return
+        if i == len(items):
+            best = len(loads)
+            return
+        for j in {load: j for j, load in enumerate(loads) if load + items[i] <= capacity}.values():
+            put(i + 1, loads[:j] + [loads[j] + items[i]] + loads[j + 1 :])
+        put(i + 1, [*loads, items[i]])
+
+    put(0, [])
+    return best
+
+
+def test_reduction_keeps_the_least_number_of_boxes():
+    rng = random.Random(8)
+    for _ in range(120):
+        capacity = rng.randint(8, 30)
+        items = sorted((rng.randint(capacity // 5, capacity) for _ in range(rng.randint(2, 9))), reverse=True)
+        there: dict[int, int] = {}
+        for x in items[1:]:
+            there[x] = there.get(x, 0) + 1
+        mates = sorted(x for x in there if x <= capacity - items[0])
+        fixed = boxes.dominating(mates, there, capacity - items[0]) if mates else []
+        if fixed is not None:
+            rest = items[1:]
+            for x in fixed:
+                rest.remove(x)
+            assert items[0] + sum(fixed) <= capacity and 1 + least_boxes(rest, capacity) == least_boxes(items, capacity), (items, capacity, fixed)
+
+
 def test_filled_boxes(spark):
     texts = [(1, "word " * 700), (2, "a b c"), (3, ""), (4, None), (5, "d e f"), (6, "word " * 30)]
     kinds = spark.createDataFrame([("small", 64), ("none", 0)], "box string, capacity_tokens long")
