@@ -41,3 +41,20 @@ def pair_loss(cos: Column, same: Column, alpha: float, weight0: Column | None =
 
 def weight(count: Column, exponent: float = 0.5) -> Column:
     return F.pow(count.cast("double"), F.lit(float(exponent)))
+
+
+def mean_pool(tokens: Column, mask: Column | None = None) -> Column:
+    """The mean of token vectors (array of arrays), of those with a true mask where there is one; null where there are none."""
+    kept = tokens if mask is None else F.transform(F.filter(F.arrays_zip(tokens.alias("v"), mask.alias("m")), lambda x: x["m"].cast("boolean")), lambda x: x["v"])
+    total = F.aggregate(F.slice(kept, 2, F.size(kept)), kept[0], lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    return F.when(F.size(kept) > 0, F.transform(total, lambda x: x / F.size(kept)))
+
+
+def first_pool(tokens: Column) -> Column:
+    """The first token's vector."""
+    return F.get(tokens, F.lit(0))
+
+
+def project(v: Column, matrix: list[list[float]]) -> Column:
+    """v times a matrix, which is given by its columns: one number of the result for each."""
+    return F.array(*(dot(v, F.array(*(F.lit(float(x)) for x in column))) for column in matrix))

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scores import score_to_cos
+from ..functions.scores import l2_normalize, score_to_cos
+from ..functions.text import augmented
 from ..plans.storage import Scratch
 from .components import components
 from .groups import relabel, split, split_all, unite_partition, unite_sets
 from .vectors import nearest_target, similar_pairs
 
+#: Conflicts that a warning shows at most; always_never_conflicts has them all.
+SHOWN = 20
 LOG = "i string, j string, n_i long, n_j long, cos double"
 
 
@@ -22,7 +30,11 @@ def _sets(sets: DataFrame | None) -> DataFrame | None:
 
 def always_never_conflicts(matches: DataFrame, always: DataFrame, never: DataFrame) -> DataFrame:
     """(string, never_match_group, always_match_group): members of never-sets of which two share an always-group."""
-    labels = unite_sets(split_all(matches), _sets(always)).select("string", F.col("group").alias("label"))
+    return label_conflicts(unite_sets(split_all(matches), _sets(always)).select("string", F.col("group").alias("label")), never)
+
+
+def label_conflicts(labels: DataFrame, never: DataFrame) -> DataFrame:
+    """The same where the always-groups are known: labels is (string, label)."""
     rows = _sets(never).join(labels, "string")
     bad = rows.groupBy("set_id").agg(F.count("*").alias("n"), F.countDistinct("label").alias("k")).where("k < n").select("set_id")
     return rows.join(bad, "set_id").select("string", F.col("set_id").alias("never_match_group"), F.col("label").alias("always_match_group"))
@@ -109,9 +121,12 @@ def united_pairs(
     blocked = None
     if never is not None:
         if always is not None and conflicts in ("warn", "raise"):
-            bad = always_never_conflicts(strings, always, never)
-            if conflicts == "raise" and not bad.isEmpty():
+            bad = always_never_conflicts(strings, always, never).limit(SHOWN).collect()
+            if bad and conflicts == "raise":
                 raise ValueError("never-match sets conflict with always-match sets; see always_never_conflicts")
+            if bad:
+                shown = "; ".join(f"{r['string']!r} in never-set {r['never_match_group']}, always with {r['always_match_group']!r}" for r in bad)
+                logging.getLogger(__name__).warning("never-match sets conflict with always-match sets, the first are: %s", shown)
         # a never-set holds for all strings with an always-label of its members
         blocked = _sets(never).join(labels, "string").select("set_id", "label").distinct().join(labels, "label").groupBy("string").agg(F.array_sort(F.collect_set("set_id")).alias("never"))
     roots = scratch.write(components(pairs, "string0", "string1").select(F.col("member").alias("string"), "root"))
@@ -177,16 +192,72 @@ def unite_similar_within(vectors: DataFrame, groups: DataFrame, threshold: float
     return relabel(strings.join(roots, "string", "left").select("string", "count", F.coalesce("root", "string").alias("group")))
 
 
+Encoder = Callable[[list[str]], "np.ndarray"]
+
+
+def hashed_ngrams(strings: list[str], n: int = 3, size: int = 64) -> np.ndarray:
+    """An encoder without a model: signed counts of hashed character n-grams, at length one."""
+    import xxhash
+
+    out = np.zeros((len(strings), size))
+    for row, s in zip(out, strings, strict=True):
+        for i in range(max(len(s) - n + 1, 1)):
+            h = xxhash.xxh64_intdigest(s[i : i + n])
+            row[h % size] += 1 if h >> 63 else -1
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+def encode(strings: DataFrame, encoder: Encoder, column: str = "string", prompt: str = "", upper: bool = False, batch: int = 512) -> DataFrame:
+    """(string, v): each different string once with its vector at length one, zero vectors left out.
+
+    encoder makes a matrix of a list of strings and runs in Arrow batches on the executors; prompt and upper augment what it
+    reads. Its object goes to the workers, so a large model should load itself there once.
+    """
+
+    def run(batches):
+        for b in batches:
+            texts, given = b.column(1).to_pylist(), b.column(0)
+            for i in range(0, len(texts), batch):
+                v = np.asarray(encoder(texts[i : i + batch]), np.float64)
+                yield pa.RecordBatch.from_arrays([given.slice(i, batch), pa.array(v.tolist(), pa.list_(pa.float64()))], names=["string", "v"])
+
+    each = strings.where(F.col(column).isNotNull()).select(F.col(column).alias("string")).distinct()
+    text = augmented("string", prompt) if upper else F.concat(F.lit(prompt), F.col("string"))
+    made = each.select("string", text.alias("t")).mapInArrow(run, "string string, v array<double>")
+    return made.select("string", l2_normalize(F.col("v")).alias("v")).where("v is not null")
+
+
 class SimilarityModel:
-    """A vector table with its score parameters, for unite(matches, model)."""
+    """A vector table or an encoder with the score's parameters, for unite(matches, model)."""
 
-    def __init__(self, vectors: DataFrame, alpha: float = 50.0, exponent: float = 0.5):
-        self.vectors, self.alpha, self.exponent = vectors, alpha, exponent
+    def __init__(self, vectors: DataFrame | None = None, alpha: float = 50.0, exponent: float = 0.5, encoder: Encoder | None = None, prompt: str = "", upper: bool = False):
+        if vectors is None and encoder is None:
+            raise ValueError("a model needs vectors or an encoder")
+        self.vectors, self.alpha, self.exponent, self.encoder, self.prompt, self.upper = vectors, alpha, exponent, encoder, prompt, upper
 
     def embed(self, matches: DataFrame) -> DataFrame:
+        """(string, count, w, v) of the strings in matches."""
         from .vectors import with_counts
 
-        return with_counts(self.vectors, matches, self.exponent)
+        vectors = self.vectors if self.vectors is not None else encode(matches, self.encoder, "string", self.prompt, self.upper)
+        return with_counts(vectors, matches, self.exponent)
 
     def unite_similar(self, matches: DataFrame, **options) -> DataFrame:
         return unite_similar(self.embed(matches).select("string", "count", "v"), alpha=self.alpha, **options)
+
+    def save(self, path: str, matches: DataFrame | None = None) -> None:
+        """The vectors (an encoder's for the strings of matches) and parameters. Code isn't saved: load() takes an encoder again."""
+        from ..sources.tables import save_vectors
+
+        vectors = self.vectors if self.vectors is not None else None if matches is None else self.embed(matches).select("string", "v")
+        if vectors is None:
+            raise ValueError("give the strings whose vectors are to be saved")
+        save_vectors(vectors, path, alpha=self.alpha, exponent=self.exponent, prompt=self.prompt, upper=self.upper)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, encoder: Encoder | None = None) -> SimilarityModel:
+        """What save() wrote; with an encoder that is used instead of the saved vectors."""
+        from ..sources.tables import load_vectors
+
+        vectors, parameters = load_vectors(spark, path)
+        return SimilarityModel(None if encoder else vectors, encoder=encoder, **parameters)

@@ -130,9 +130,15 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.agg(top).select("b.threshold", "b.F1")
 
 
-def threshold_summary(runs: DataFrame, by: str, value: str, share: float = 0.8) -> DataFrame:
-    """Mean, interpolated quantile, greatest value and sample deviation of value by `by`."""
-    q = F.percentile(value, share).alias("quantile")
+def _quantile(value: str, share: float, accuracy: int | None) -> Column:
+    """Exact and interpolated, or a value whose rank is off by 1/accuracy of the group at most, in memory that doesn't grow with it."""
+    return F.percentile(value, share) if accuracy is None else F.percentile_approx(value, share, accuracy)
+
+
+def threshold_summary(runs: DataFrame, by: str, value: str, share: float = 0.8, accuracy: int | None = None) -> DataFrame:
+    """Mean, quantile, greatest value and sample deviation of value by `by`. An exact quantile holds a group's different values in
+    one task: give an accuracy where these are very many."""
+    q = _quantile(value, share, accuracy).alias("quantile")
     return runs.groupBy(by).agg(F.avg(value).alias("mean"), q, F.max(value).alias("greatest"), F.stddev_samp(value).alias("deviation"), F.count(value).alias("runs"))
 
 
@@ -148,7 +154,7 @@ def topk_mean(runs: DataFrame, by: str, value: str, tie: str, k: int = 5) -> Dat
     return runs.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k).groupBy(by).agg(F.avg(value).alias("top_mean"))
 
 
-def above_quantile(runs: DataFrame, by: str, value: str, share: float = 0.75) -> DataFrame:
-    """Rows whose value reaches its group's quantile; the quantile is aggregated, then joined."""
-    q = runs.groupBy(by).agg(F.percentile(value, share).alias("quantile"), F.count("*").alias("_n"))
+def above_quantile(runs: DataFrame, by: str, value: str, share: float = 0.75, accuracy: int | None = None) -> DataFrame:
+    """Rows whose value reaches its group's quantile; the quantile is aggregated, then joined. accuracy as in threshold_summary."""
+    q = runs.groupBy(by).agg(_quantile(value, share, accuracy).alias("quantile"), F.count("*").alias("_n"))
     return join_unique(runs, q, [by], "_n").where(F.col(value) >= F.col("quantile")).drop("_n")

@@ -129,6 +129,18 @@ def lookup(matches: DataFrame, strings: DataFrame, column: str, strict: bool = T
     return found.withColumn("label", F.coalesce("label", error))
 
 
+def listed(spark: SparkSession, strings: Iterable[str]) -> DataFrame:
+    """(place, string) of a list, in its order and with its repetitions."""
+    if isinstance(strings, str):
+        raise ValueError("a list of strings is needed, not one string")
+    return spark.createDataFrame(list(enumerate(strings)), "place long, string string")
+
+
+def lookup_list(matches: DataFrame, strings: Iterable[str], strict: bool = True) -> DataFrame:
+    """(place, string, label) of a list of strings, sorted by place."""
+    return lookup(matches, listed(matches.sparkSession, strings), "string", strict).orderBy("place")
+
+
 def matched_to(matches: DataFrame, strings: DataFrame | Iterable[str]) -> DataFrame:
     """All members of the groups that any of the strings is in."""
     groups = matches.join(_strings(matches.sparkSession, strings), "string", "left_semi").select("group").distinct()

@@ -19,13 +19,18 @@ def without_pairs(pairs: DataFrame, skip: DataFrame) -> DataFrame:
 def top_scored_pairs(scored: DataFrame, matches: DataFrame, n: int = 10_000, by_group: bool = True, sort_by: tuple[str, ...] = ("impact", "score"), ascending: bool = False, skip: DataFrame | None = None) -> DataFrame:
     """The first n pairs of different groups by impact (the groups' numbers of strings multiplied) and score, ties by strings.
 
-    by_group keeps the best pair of each two groups. n is the report's length.
+    by_group keeps the best pair of each two groups, and leaves out all pairs of two groups of which skip has one. n is the
+    report's length.
     """
     bad = [c for c in sort_by if c not in SORTABLE]
     if bad:
         raise ValueError(f"pairs can't be sorted by {bad}")
     rows = scored.where("group0 != group1")
-    if skip is not None:
+    if skip is not None and by_group:
+        of = lambda i: matches.select(F.col("string").alias(f"string{i}"), F.col("group").alias(f"group{i}"))
+        gone = skip.select("string0", "string1").join(of(0), "string0").join(of(1), "string1").select(F.least("group0", "group1").alias("_a"), F.greatest("group0", "group1").alias("_b")).distinct()
+        rows = rows.withColumns({"_a": F.least("group0", "group1"), "_b": F.greatest("group0", "group1")}).join(gone, ["_a", "_b"], "left_anti").drop("_a", "_b")
+    elif skip is not None:
         rows = without_pairs(rows, skip)
     sizes = matches.groupBy("group").agg(F.count("*").alias("k"))
     g = lambda i: sizes.select(F.col("group").alias(f"group{i}"), F.col("k").alias(f"k{i}"))

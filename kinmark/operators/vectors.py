@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.scores import dot, l2_normalize, pair_loss, score, score_to_cos, weight
 from ..plans.skew import join_unique
+from .groups import listed
 
 BLOCK = 2048
 
@@ -31,9 +32,16 @@ def with_counts(vectors: DataFrame, matches: DataFrame, exponent: float = 0.5) -
 
 
 def first_rows(vectors: DataFrame, start: int, stop: int) -> DataFrame:
-    """The vectors from place start to stop in the order of strings."""
-    taken = vectors.orderBy("string").limit(stop)
-    return taken.exceptAll(vectors.orderBy("string").limit(start)) if start else taken
+    """The vectors from place start to stop in the order of strings; a slice is what a caller looks at, so it is short."""
+    return vectors.orderBy("string").offset(start).limit(stop - start)
+
+
+def pick(vectors: DataFrame, strings: list[str]) -> DataFrame:
+    """(place, string, ...) of a list of strings, in its order and with its repetitions; an unknown one fails when it is run."""
+    found = listed(vectors.sparkSession, strings).join(vectors.withColumn("_there", F.lit(True)), "string", "left")
+    error = F.raise_error(F.concat(F.lit("unknown string: "), F.col("string"))).cast("string")
+    named = found.withColumn("string", F.when(F.col("_there"), F.col("string")).otherwise(error)).drop("_there")
+    return named.select("place", "string", *(c for c in vectors.columns if c != "string")).orderBy("place")
 
 
 def _matrix(column) -> np.ndarray:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import ALWAYS, l2_normalize, pair_loss, score, score_to_cos, weight
-from ..functions.text import COMPANY_FORMS, INNER_MARKS, SEPARATORS, one_of, simplify, simplify_corp, suffix_key
+from ..functions.text import COMPANY_FORMS, INNER_MARKS, SEPARATORS, augmented, one_of, simplify, simplify_corp, suffix_key
 from ..operators import calibrate, clustering, evaluate, groups, linkage, review, spelling, vectors
 from .storage import Scratch
 
@@ -461,23 +461,59 @@ def unite_similar_fast(spark: SparkSession, d: str) -> DataFrame:
 def unite_similar_always(spark: SparkSession, d: str) -> DataFrame:
     return clustering.unite_similar(units(spark, d), THRESHOLD, ALPHA, always=_sets(spark, d, 1, 2))
 
+def greedy(refused: str, never: str = "SELECT NULL::VARCHAR AS string, NULL::BIGINT AS set_id WHERE false", near: float = -2.0, where: str = "true") -> str:
+    """SQL for constrained agglomeration, one pair after the other from the most similar on: (k, a, b, took, na, nb, g) of each step,
+    g being the groups of all strings after it. Places of strings stand for them; refused says of groups ma and mb that they stay apart."""
+    return f"""(WITH RECURSIVE u AS ({U}), n AS (SELECT *, row_number() OVER (ORDER BY string) AS i FROM u), p AS ({PAIRS}),
+        e AS (SELECT x.i AS a, y.i AS b, row_number() OVER (ORDER BY cos DESC, string0, string1) AS k FROM p JOIN n x ON x.string = string0 JOIN n y ON y.string = string1 WHERE {where}),
+        s AS (SELECT i, coalesce(list(DISTINCT set_id) FILTER (set_id IS NOT NULL), []) AS never FROM n LEFT JOIN ({never}) v ON v.string = n.string GROUP BY i),
+        t AS (SELECT a.i, list(b.i) AS near FROM n a JOIN n b ON list_inner_product(a.u, b.u) >= {near!r} GROUP BY a.i),
+        c AS (SELECT list(i ORDER BY i) AS idx, list(n.n ORDER BY i) AS num, list(never ORDER BY i) AS never, list(near ORDER BY i) AS near FROM n JOIN s USING (i) JOIN t USING (i)),
+        r AS (SELECT 0::BIGINT AS k, 0::BIGINT AS a, 0::BIGINT AS b, false AS took, 0::HUGEINT AS na, 0::HUGEINT AS nb, idx AS g FROM c
+          UNION ALL SELECT k, a, b, took, list_sum(list_transform(ma, lambda x: num[x]))::HUGEINT, list_sum(list_transform(mb, lambda x: num[x]))::HUGEINT,
+              CASE WHEN took THEN list_transform(g, lambda x: CASE WHEN x = g[b] THEN g[a] ELSE x END) ELSE g END
+            FROM (SELECT *, g[a] <> g[b] AND NOT ({refused}) AS took FROM
+              (SELECT e.k, e.a, e.b, r.g, c.num, c.never, c.near, list_filter(c.idx, lambda x: r.g[x] = r.g[e.a]) AS ma, list_filter(c.idx, lambda x: r.g[x] = r.g[e.b]) AS mb FROM r JOIN e ON e.k = r.k + 1, c)))
+        SELECT * FROM r)"""
+
+
+NEVER = "list_has_any(flatten(list_transform(ma, lambda x: never[x])), flatten(list_transform(mb, lambda x: never[x])))"
+FAR = "len(ma) + len(mb) > 2 AND NOT list_bool_and(list_transform(ma, lambda x: len(list_intersect(near[x], mb)) = len(mb)))"
+NAMED = f"SELECT string, n, row_number() OVER (ORDER BY string) AS i FROM ({U})"
+
+
+def grouped(steps: str) -> str:
+    """SQL for the group table that the last of the steps leaves."""
+    rows = f"SELECT string, n, g[i] AS g FROM ({NAMED}), (SELECT g FROM {steps} ORDER BY k DESC LIMIT 1)"
+    return labels(rows, "g")
 
-@query()
+
+def sets_of(label: int, size: int) -> str:
+    return f"SELECT lpad(CAST(vec_id AS VARCHAR), 8, '0') AS string, vec_id // {size} AS set_id FROM embeddings WHERE label = {label}"
+
+
+NEVER_BY_LABEL = f"""SELECT m.string, v.set_id FROM ({sets_of(1, 100)}) v JOIN (SELECT string, min(string) OVER (PARTITION BY set_id) AS l FROM ({PAIRED})) x ON x.string = v.string
+    JOIN (SELECT string, min(string) OVER (PARTITION BY set_id) AS l FROM ({PAIRED})) m ON m.l = x.l"""
+
+
+@query(grouped(greedy(FAR, near=score_to_cos(0.28, ALPHA))))
 def unite_similar_group_threshold(spark: SparkSession, d: str) -> DataFrame:
     return clustering.unite_similar(units(spark, d), THRESHOLD, ALPHA, group_threshold=0.28)
 
 
-@query()
+@query(grouped(greedy(NEVER, never=sets_of(2, 100))))
 def unite_similar_never(spark: SparkSession, d: str) -> DataFrame:
     return clustering.unite_similar(units(spark, d), THRESHOLD, ALPHA, never=_sets(spark, d, 2, 100))
 
 
-@query()
+@query(united(grouped(greedy(NEVER, never=NEVER_BY_LABEL)), f"SELECT set_id AS key, string FROM ({PAIRED})"))
 def unite_similar_always_never(spark: SparkSession, d: str) -> DataFrame:
     return clustering.unite_similar(units(spark, d), THRESHOLD, ALPHA, always=_sets(spark, d, 1, 2), never=_sets(spark, d, 1, 100))
 
 
-@query()
+@query(f"""WITH u AS ({U}), n AS ({NAMED}), l AS (SELECT string, coalesce(set_id, -CAST(string AS BIGINT) - 1) AS l FROM u LEFT JOIN ({PAIRED}) USING (string))
+    SELECT x.string AS i, y.string AS j, CAST(na AS BIGINT) AS n_i, CAST(nb AS BIGINT) AS n_j, round(least(1, exp(-{ALPHA} * (1 - list_inner_product(ux.u, uy.u)))), 6) AS score, lx.l = ly.l AS always_match
+    FROM {greedy("false")} JOIN n x ON x.i = a JOIN n y ON y.i = b JOIN u ux ON ux.string = x.string JOIN u uy ON uy.string = y.string JOIN l lx ON lx.string = x.string JOIN l ly ON ly.string = y.string WHERE took""")
 def united_pairs_log(spark: SparkSession, d: str) -> DataFrame:
     log = clustering.united_pairs(units(spark, d), THRESHOLD, ALPHA, always=_sets(spark, d, 1, 2))
     return log.select("i", "j", "n_i", "n_j", F.round(score(F.col("cos"), ALPHA), 6).alias("score"), "always_match")
@@ -500,13 +536,134 @@ def unite_nearest(spark: SparkSession, d: str) -> DataFrame:
     return clustering.unite_nearest(gold(spark, d), units(spark, d), ids, THRESHOLD, ALPHA)
 
 
-@query()
+APART = "SELECT lpad(CAST(vec_id AS VARCHAR), 8, '0') AS string FROM embeddings WHERE label = 3"
+HIT = f"""SELECT string, "group" AS g FROM {FAST} WHERE "group" IN (SELECT "group" FROM {FAST} JOIN ({APART}) USING (string) GROUP BY 1 HAVING count(*) > 1)"""
+WITHIN = greedy(NEVER, never=f"SELECT string, dense_rank() OVER (ORDER BY g) AS set_id FROM ({HIT}) JOIN ({APART}) USING (string)", where=f"(SELECT count(DISTINCT h.g) = 1 AND count(*) = 2 FROM ({HIT}) h WHERE h.string IN (string0, string1))")
+
+
+@query(labels(f"""SELECT f.string, f."count" AS n, CASE WHEN h.string IS NULL THEN 'kept ' || f."group" ELSE 'new ' || CAST(w.g AS VARCHAR) END AS g FROM {FAST} f LEFT JOIN ({HIT}) h ON h.string = f.string
+    JOIN (SELECT string, g[i] AS g FROM ({NAMED}), (SELECT g FROM {WITHIN} ORDER BY k DESC LIMIT 1)) w ON w.string = f.string""", "g"))
 def separate(spark: SparkSession, d: str) -> DataFrame:
     apart = table(spark, d, "embeddings").where("label = 3").select(F.lpad(F.col("vec_id").cast("string"), 8, "0").alias("string"))
     found = Scratch(spark).write(clustering.unite_similar(units(spark, d), THRESHOLD, ALPHA))
     return clustering.separate(found, units(spark, d), apart, THRESHOLD, ALPHA)
 
 
+# --- stored vectors, link sets and links of the project -------------------------------------------------------------------
+
+#: A stored vector is usable where it has 64 finite numbers that aren't all zero; a string has its first usable one.
+USABLE = "v IS NOT NULL AND len(v) = 64 AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(v, lambda x: x <> 0)) > 0"
+STORED_SQL = f"""SELECT string, n, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM
+    (SELECT string, greatest(coalesce("count", 1), 1) AS n, v::DOUBLE[] AS v FROM stored_vectors WHERE {USABLE} QUALIFY row_number() OVER (PARTITION BY string ORDER BY vec_id) = 1)"""
+CLOSE = 0.9
+
+
+def stored(spark: SparkSession, d: str) -> DataFrame:
+    """(string, count, v) of the stored vectors: the first usable one of each string, at length one."""
+    rows = table(spark, d, "stored_vectors").where((F.size("v") == 64) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
+    first = rows.groupBy("string").agg(F.min_by(F.struct("v", F.greatest(F.coalesce("count", F.lit(1)), F.lit(1)).alias("n")), "vec_id").alias("b"))
+    return vectors.unit_vectors(first.select("string", "b.v", "b.n"), "string", "v", "n")
+
+
+def near(limit: str, u: str = STORED_SQL) -> str:
+    return f"WITH u AS MATERIALIZED ({u}) SELECT a.string AS string0, b.string AS string1, list_inner_product(a.u, b.u) AS cos FROM u a JOIN u b ON a.string < b.string WHERE list_inner_product(a.u, b.u) >= {limit}"
+
+
+@query(f"SELECT string0, string1, round(cos, 6) AS cos FROM ({near(repr(CLOSE))})")
+def stored_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(vectors.similar_pairs(stored(spark, d), CLOSE), "cos")
+
+
+@query(labels(f"SELECT string, n, coalesce(root, string) AS g FROM ({STORED_SQL}) LEFT JOIN {reach(f'SELECT string0 AS a, string1 AS b FROM ({near(repr(CLOSE))})')} ON a = string", "g"))
+def stored_unite_similar(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.unite_similar(stored(spark, d), 1 / math.e, 1 / (1 - CLOSE))
+
+
+@query(f"""WITH u AS ({STORED_SQL}) SELECT pair_id, string0, string1, round(list_inner_product(a.u, b.u), 6) AS cos, round(least(1, exp(-{ALPHA} * (1 - list_inner_product(a.u, b.u)))), 6) AS score
+    FROM pair_links JOIN u a ON a.string = string0 JOIN u b ON b.string = string1""")
+def linked_scores(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "pair_links").select("pair_id", "string0", "string1")
+    return rounded(vectors.score_pairs(pairs, stored(spark, d), ALPHA), "cos", "score").select("pair_id", "string0", "string1", "cos", "score")
+
+
+@query(f"""WITH u AS ({STORED_SQL}), t AS (SELECT DISTINCT string FROM link_sets) SELECT string, arg_min(target, {{'a': -round(cos, 12), 'b': target}}) AS target, round(max(cos), 6) AS cos FROM
+    (SELECT a.string, b.string AS target, list_inner_product(a.u, b.u) AS cos FROM u a ANTI JOIN t USING (string) JOIN (SELECT * FROM u SEMI JOIN t USING (string)) b ON true) GROUP BY string""")
+def stored_nearest_target(spark: SparkSession, d: str) -> DataFrame:
+    u, targets = stored(spark, d), listed(spark, d).select("string").distinct()
+    return rounded(vectors.nearest_target(u.join(targets, "string", "left_anti"), u.join(targets, "string", "left_semi")), "cos")
+
+
+ALWAYS = "SELECT DISTINCT set_id AS key, string FROM link_sets WHERE lower(kind) = 'always'"
+
+
+@query(f"""WITH m AS ({united(base(), ALWAYS)}), v AS (SELECT DISTINCT set_id, string, "group" AS label FROM link_sets JOIN m USING (string) WHERE lower(kind) = 'never'),
+    bad AS (SELECT set_id FROM v GROUP BY set_id HAVING count(DISTINCT label) < count(*)) SELECT string, set_id AS never_match_group, label AS always_match_group FROM v JOIN bad USING (set_id)""")
+def link_set_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    m = groups.unite_sets(matches(spark, d), listed(spark, d, "always"))
+    return clustering.label_conflicts(m.select("string", F.col("group").alias("label")), listed(spark, d, "never"))
+
+
+@query(f"""WITH u AS ({U}), g AS ({GOLD}), x AS (SELECT string, n FROM u JOIN g USING (string)) SELECT string, n AS "count", round(sqrt(n), 6) AS w FROM x""")
+def embedded(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(clustering.SimilarityModel(units(spark, d)).embed(gold(spark, d)).select("string", "count", "w"), "w")
+
+
+@query(labels(f"""SELECT string, "count" AS n, coalesce(root, "group") AS g FROM ({GOLD}) LEFT JOIN {reach(f'SELECT x."group" AS a, y."group" AS b FROM (SELECT f."group" AS k, min(m."group") AS h FROM {FAST} f JOIN ({GOLD}) m ON m.string = f.string GROUP BY 1) JOIN {FAST} f ON f."group" = k JOIN ({GOLD}) x ON x.string = f.string JOIN ({GOLD}) y ON y."group" = h')} ON a = "group" """, "g"))
+def unite_model(spark: SparkSession, d: str) -> DataFrame:
+    return groups.unite(gold(spark, d), clustering.SimilarityModel(units(spark, d), ALPHA), threshold=THRESHOLD)
+
+
+@query("SELECT string, list_transform(u, lambda x: round(x, 6)) AS v FROM (" + U + ")")
+def saved_vectors(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{Scratch(spark).root}/model"
+    clustering.SimilarityModel(units(spark, d), ALPHA).save(path)
+    return clustering.SimilarityModel.load(spark, path).vectors.select("string", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+
+
+@query(f"SELECT string FROM ({U}) ORDER BY string LIMIT 20 OFFSET 10")
+def sliced_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.first_rows(units(spark, d), 10, 30).select("string")
+
+
+@query("SELECT p_partkey, 'name: ' || p_name || '</s>' || upper(p_name) AS t FROM part")
+def augmented_strings(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", augmented("p_name", "name: ").alias("t"))
+
+
+@query(united(base(), f'SELECT left(string, 6) AS key, string FROM ({base()})'))
+def unite_python_key(spark: SparkSession, d: str) -> DataFrame:
+    return groups.unite_python(matches(spark, d), lambda s: s[:6])
+
+
+TOUCHED = f'SELECT string FROM link_sets WHERE set_id = 1'
+
+
+@query(f"""WITH j AS ({united(base(), f'SELECT "group" AS key, string FROM ({base("max")})')}) SELECT string, "group" FROM j WHERE "group" IN (SELECT "group" FROM j JOIN ({TOUCHED}) USING (string))""")
+def touching_groups(spark: SparkSession, d: str) -> DataFrame:
+    both = groups.touching(matches(spark, d), matches(spark, d, F.max), listed(spark, d).where("set_id = 1").select("string"))
+    return both.select("string", "group")
+
+
+@query(f'WITH m AS ({base()}) SELECT p.pair_id, p.string0, l.set_id, l.string FROM pair_links p JOIN m x ON x.string = string0 JOIN m y ON y."group" = x."group" JOIN link_sets l ON l.string = y.string')
+def merge_links(spark: SparkSession, d: str) -> DataFrame:
+    left, right = table(spark, d, "pair_links").select("pair_id", "string0"), listed(spark, d).select("set_id", "string")
+    return linkage.merge_tables(left, right, matches(spark, d), "inner", left_on="string0", right_on="string", match_nulls=False).select("pair_id", "string0", "set_id", "string")
+
+
+@query(f"""WITH m AS ({base()}), l AS (SELECT pair_id, string0, "group" AS g FROM pair_links LEFT JOIN m ON string = string0), r AS (SELECT set_id, s.string, "group" AS g FROM link_sets s LEFT JOIN m ON m.string = s.string)
+    SELECT pair_id, string0, l.g AS match_group, set_id, string FROM l FULL JOIN r ON l.g = r.g""")
+def merge_links_outer(spark: SparkSession, d: str) -> DataFrame:
+    left, right = table(spark, d, "pair_links").select("pair_id", "string0"), listed(spark, d).select("set_id", "string")
+    return linkage.merge_tables(left, right, matches(spark, d), "outer", left_on="string0", right_on="string", match_nulls=False).select("pair_id", "string0", "match_group", "set_id", "string")
+
+
+@query(f"{TOP}, gone AS (SELECT DISTINCT least(x.\"group\", y.\"group\") AS a, greatest(x.\"group\", y.\"group\") AS b FROM scored JOIN g x ON x.string = string0 JOIN g y ON y.string = string1 WHERE score >= 0.3) SELECT string0, string1, group0, group1, round(score, 6) AS score, round(loss, 6) AS loss, impact FROM i ANTI JOIN gone s ON s.a = least(group0, group1) AND s.b = greatest(group0, group1) QUALIFY row_number() OVER (PARTITION BY least(group0, group1), greatest(group0, group1) ORDER BY {BY_IMPACT}) = 1")
+def top_pairs_skip_groups(spark: SparkSession, d: str) -> DataFrame:
+    s = _scored(spark, d)
+    skip = s.where("score >= 0.3").select(F.col("string1").alias("string0"), F.col("string0").alias("string1"))
+    return rounded(review.top_scored_pairs(s, gold(spark, d), 100_000, skip=skip), "score", "loss")
+
+
 # --- evaluation ---------------------------------------------------------------------------------------------------------
 
 
@@ -650,4 +807,33 @@ def token_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spelling.token_jaccard_pairs(table(spark, d, "part"), "p_name", 0.3), "jaccard")
 
 
+# DuckDB's edit distance and Jaro-Winkler count bytes, and n-grams of all names meet too often there: these have brute-force tests.
+
+
+@query()
+def levenshtein_names(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.levenshtein_pairs(table(spark, d, "matcher"), "string", 1)
+
+
+@query()
+def tfidf_names(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.tfidf_top1(table(spark, d, "matcher"), "string", 3, 0.8)
+
+
+@query()
+def token_jaccard_names(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(spelling.token_jaccard_pairs(table(spark, d, "matcher"), "string", 0.8), "jaccard")
+
+
+@query()
+def jaro_winkler_links(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(table(spark, d, "pair_links").select("pair_id", spelling.jaro_winkler("string0", "string1").alias("similarity")), "similarity")
+
+
+@query(f"SELECT a.s AS string0, b.s AS string1, round(jaro_winkler_similarity(a.s, b.s), 6) AS similarity FROM ({NAMES}) a JOIN ({NAMES}) b ON a.s < b.s AND levenshtein(a.s, b.s) <= 3")
+def jaro_winkler_pairs(spark: SparkSession, d: str) -> DataFrame:
+    near = spelling.levenshtein_pairs(table(spark, d, "part"), "p_name", 3)
+    return rounded(near.select("string0", "string1", spelling.jaro_winkler("string0", "string1").alias("similarity")), "similarity")
+
+
 assert math.isclose(COS, 1 + math.log(THRESHOLD) / ALPHA)

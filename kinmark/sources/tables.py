@@ -29,12 +29,12 @@ def write_csv(matches: DataFrame, path: str, singletons: bool = True) -> None:
     to_table(matches, singletons, sort=False).write.mode("overwrite").options(header=True, escape='"', quoteAll=True, emptyValue="", **EXACT).csv(path)
 
 
-def save_vectors(vectors: DataFrame, path: str, **parameters: float) -> None:
+def save_vectors(vectors: DataFrame, path: str, **parameters: float | str | bool) -> None:
     """Vectors as Parquet, the parameters (alpha, exponent, ...) as one line of JSON beside them."""
     vectors.write.mode("overwrite").parquet(f"{path}/vectors")
     vectors.sparkSession.createDataFrame([(json.dumps(parameters, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/parameters")
 
 
-def load_vectors(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, float]]:
+def load_vectors(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, float | str | bool]]:
     (row,) = spark.read.text(f"{path}/parameters").collect()
     return spark.read.parquet(f"{path}/vectors"), json.loads(row["value"])
