@@ -134,7 +134,7 @@ def filled_boxes(documents: DataFrame, boxes: DataFrame, vocabulary: str = VOCAB
     """
     spark = documents.sparkSession
     scratch = Scratch(spark)
-    sized = documents.select(F.col(id_col).cast("long").alias("_id"), token_count(F.col(text_col), vocabulary).alias("n")).where("n IS NOT NULL")
+    sized = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), token_count(F.col(text_col), vocabulary).alias("n"))
     sized = scratch.write(sized)
     kinds = [(r["box"], r["capacity_tokens"]) for r in boxes.where("capacity_tokens > 0").orderBy("box").collect()]
     cuts = spark.createDataFrame(kinds, "box string, capacity long")

@@ -231,7 +231,8 @@ def ordinary_forms(df: DataFrame, id_col: str = "row_id", string_col: str = "str
     Only strings with a character beyond ASCII leave the JVM.
     """
     odd = df.select(F.col(id_col).alias(id_col), F.col(string_col).alias("_s")).where(F.col("_s").rlike(r"[^\x00-\x7F]"))
-    return odd.withColumn("plain", plain_form("_s")).where(F.col("plain") != F.col("_s")).select(id_col, "plain")
+    spelled = odd.withColumn("plain", F.explode(F.array(plain_form("_s"))))  # once, for the filter as well
+    return spelled.where(F.col("plain") != F.col("_s")).select(id_col, "plain")
 
 
 def lookalike_groups(df: DataFrame, string_col: str = "string") -> DataFrame:

@@ -101,10 +101,10 @@ def mixed_documents(
     spark = documents.sparkSession
     scratch = Scratch(spark)
     wanted = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.where("target_share > 0 AND max_repeats > 0").collect()}
-    mine = documents.where(F.col(source_col).isin(sorted(wanted)) & F.col(text_col).isNotNull())
+    mine = documents.where(F.col(source_col).isin(sorted(wanted)) & (F.col(text_col) != ""))
     own_key = F.coalesce(F.col(key_col).cast("string"), F.concat(F.lit("\0"), F.col(id_col).cast("string")))
     sized = mine.select(own_key.alias("key"), F.col(source_col).alias("source"), F.col(id_col).cast("long").alias("id"), token_count(F.col(text_col), vocabulary).alias("tokens"))
-    sized = scratch.write(sized.where("tokens > 0"))
+    sized = scratch.write(sized)
     stands = sized.groupBy("key", "source").agg(F.min("id").alias("id"), F.min_by("tokens", "id").alias("tokens"))
     documents_of = stands.groupBy("key").agg(
         F.array_sort(F.collect_list("source")).alias("pattern"), F.min("id").alias("unit"), F.max("tokens").alias("mass"), F.collect_list(F.struct("source", "id", "tokens")).alias("each")

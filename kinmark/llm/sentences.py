@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .words import once
+
 # Placeholder, one character for each masked one, and the sign put where a sentence ends.
 DOT, CUT = "\ue000", "\ue001"
 
@@ -110,11 +112,6 @@ def cuts() -> str:
     return f"(?=[\\n;;。！？｡{END[1:-1]}{CLOSE_END[1:-1]}])(?:{'|'.join(each)})"
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column that is computed once: projections that use it several times would else be merged and repeat the work."""
-    return df.withColumn(name, F.explode(F.array(value)))
-
-
 def _rest(text: Column, after: Column) -> Column:
     """What follows the first `after` characters."""
     return F.when(F.length(text) > after, F.substring(text, after + 1, F.length(text) - after)).otherwise(F.lit(""))
@@ -129,20 +126,20 @@ def own_prose(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(F.col("_t").isNotNull())
     opens = F.col("_t").rlike(r"\A(?:From [^\n]*(?:\n|\z)|[A-Za-z][A-Za-z0-9-]*:(?!//))")
     head = F.when(F.col("_t").rlike(r"\n\r?\n"), F.regexp_extract("_t", r"(?s)\A.*?\n\r?\n", 0)).otherwise(F.col("_t"))
-    rows = _once(rows, "_h", F.when(opens, head).otherwise(F.lit("")))
-    rows = _once(_once(rows, "_multi", F.col("_h").rlike(r"(?i)(?:\A|\n)content-type:\s*multipart/")), "_b", _rest(F.col("_t"), F.length("_h")))
+    rows = once(rows, "_h", F.when(opens, head).otherwise(F.lit("")))
+    rows = once(once(rows, "_multi", F.col("_h").rlike(r"(?i)(?:\A|\n)content-type:\s*multipart/")), "_b", _rest(F.col("_t"), F.length("_h")))
     # from the body's start to the end of the headers of the first plain part
     first = r"(?is)\A.*?(?<![^\n])--[^\s][^\n]*\n(?:(?!\r?\n|content-type:)[^\n]*\n)*+content-type:\s*text/plain[^\n]*\n(?:(?!\r?\n)[^\n]*\n)*+\r?\n"
-    rows = _once(rows, "_lead", F.when(F.col("_multi"), F.regexp_extract("_b", first, 0)).otherwise(F.lit("")))
+    rows = once(rows, "_lead", F.when(F.col("_multi"), F.regexp_extract("_b", first, 0)).otherwise(F.lit("")))
     own = F.regexp_extract("_lead", r"(?s).*(?<![^\n])(--[^\s][^\n]*\n.*)\z", 1)
-    rows = _once(rows, "_ph", F.when(F.col("_multi"), own).otherwise(F.col("_h")))
+    rows = once(rows, "_ph", F.when(F.col("_multi"), own).otherwise(F.col("_h")))
     html = ~F.col("_multi") & F.col("_h").rlike(r"(?i)(?:\A|\n)content-type:\s*text/html")
     none = html | (F.col("_multi") & (F.col("_lead") == "")) | F.col("_ph").rlike(r"(?i)(?:\A|\n)content-transfer-encoding:\s*\"?base64")
     mark = F.concat(F.lit("\n"), F.regexp_extract("_ph", r"\A(--[^\r\n]*?)[ \t]*\r?\n", 1))
     body = F.concat(F.lit("\n"), _rest(F.col("_b"), F.length("_lead")))
     part = F.when(F.col("_multi"), F.split_part(body, mark, F.lit(1))).otherwise(body)
     cut = F.regexp_replace(part, r"(?s)\n(?:--[ ]?\r?(?:\n|\z)|_{5}|={5}|-{5}).*\z", "")
-    rows = _once(rows, "_l", F.split(F.when(none, F.lit("")).otherwise(cut), "\n"))
+    rows = once(rows, "_l", F.split(F.when(none, F.lit("")).otherwise(cut), "\n"))
     quoted = lambda i: F.coalesce(F.get("_l", i).startswith(">"), F.lit(False))
     kept = F.transform("_l", lambda x, i: F.when(quoted(i) | quoted(i + 1), F.repeat(F.lit(" "), F.length(x))).otherwise(x))
     return rows.select("_id", (F.length("_h") + F.length("_lead") - 1).alias("_at"), F.array_join(kept, "\n").alias("prose"))
@@ -153,13 +150,13 @@ def pieces(rows: DataFrame) -> DataFrame:
     text = F.translate("prose", DOT + CUT, "\ufffd\ufffd")
     text = F.when(text.contains("://") | text.contains("www."), F.regexp_replace(text, LINK, f"$1{DOT}")).otherwise(text)
     cut = F.regexp_replace(F.regexp_replace(text, masks(), DOT), cuts(), f"$0{CUT}")
-    rows = _once(rows, "_o", F.split(cut, CUT))
+    rows = once(rows, "_o", F.split(cut, CUT))
     # in Thai white space ends a sentence: all of it where most letters are Thai, elsewhere that between Thai letters
     of = lambda p, kept: F.length(F.regexp_replace(p, f"[^{kept}]+", ""))
     mostly = lambda p: 2 * of(p, r"\p{IsThai}") > of(p, r"\p{L}\p{M}")
     between = r"(?<=\p{IsThai})" + SPACE + r"+(?=\p{IsThai})"
     thai = lambda p: F.split(F.when(mostly(p), F.regexp_replace(p, f"{SPACE}+", f"$0{CUT}")).otherwise(F.regexp_replace(p, between, f"$0{CUT}")), CUT)
-    return _once(rows, "pieces", F.when(F.col("prose").rlike(r"\p{IsThai}"), F.flatten(F.transform("_o", thai))).otherwise(F.col("_o")))
+    return once(rows, "pieces", F.when(F.col("prose").rlike(r"\p{IsThai}"), F.flatten(F.transform("_o", thai))).otherwise(F.col("_o")))
 
 
 def starts(lengths: Column, block: int = 256) -> Column:
@@ -179,9 +176,9 @@ def sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Null and empty texts and messages without own prose give no row; of equal texts each gives its own.
     """
-    rows = pieces(_once(own_prose(df, id_col, text_col), "prose", F.col("prose")).where(F.col("prose").rlike(r"\S")))
-    rows = _once(rows, "_n", F.transform("pieces", lambda p: F.length(p)))
-    rows = _once(rows.select("_id", "_at", "pieces", "_n"), "_s", starts(F.col("_n")))
+    rows = pieces(once(own_prose(df, id_col, text_col), "prose", F.col("prose")).where(F.col("prose").rlike(r"\S")))
+    rows = once(rows, "_n", F.transform("pieces", lambda p: F.length(p)))
+    rows = once(rows.select("_id", "_at", "pieces", "_n"), "_s", starts(F.col("_n")))
     each = rows.select("_id", "_at", F.explode(F.arrays_zip("pieces", "_s")).alias("e")).select("_id", (F.col("_at") + F.col("e._s")).alias("s"), F.col("e.pieces").alias("p"))
     each = each.withColumn("l", F.regexp_replace("p", rf"\A{SPACE}+", "")).where("l != ''")
     start = F.col("s") + F.length("p") - F.length("l")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lookalike import plain_form
@@ -10,6 +10,11 @@ from .lookalike import plain_form
 LETTER = r"\p{L}\p{Nd}"
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once: filters and projections on it would else be merged and repeat the work."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def normal_text(string: Column | str) -> Column:
     """P2 form, lower case, dots and apostrophes inside words dropped, one space between words; '' where no word is left."""
     low = F.lower(plain_form(string))
