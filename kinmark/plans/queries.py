@@ -593,10 +593,10 @@ def stored_nearest_target(spark: SparkSession, d: str) -> DataFrame:
     return rounded(vectors.nearest_target(u.join(targets, "string", "left_anti"), u.join(targets, "string", "left_semi")), "cos")
 
 
-ALWAYS = "SELECT DISTINCT set_id AS key, string FROM link_sets WHERE lower(kind) = 'always'"
+ALWAYS_SETS = "SELECT DISTINCT set_id AS key, string FROM link_sets WHERE lower(kind) = 'always'"
 
 
-@query(f"""WITH m AS ({united(base(), ALWAYS)}), v AS (SELECT DISTINCT set_id, string, "group" AS label FROM link_sets JOIN m USING (string) WHERE lower(kind) = 'never'),
+@query(f"""WITH m AS ({united(base(), ALWAYS_SETS)}), v AS (SELECT DISTINCT set_id, string, "group" AS label FROM link_sets JOIN m USING (string) WHERE lower(kind) = 'never'),
     bad AS (SELECT set_id FROM v GROUP BY set_id HAVING count(DISTINCT label) < count(*)) SELECT string, set_id AS never_match_group, label AS always_match_group FROM v JOIN bad USING (set_id)""")
 def link_set_conflicts(spark: SparkSession, d: str) -> DataFrame:
     m = groups.unite_sets(matches(spark, d), listed(spark, d, "always"))
