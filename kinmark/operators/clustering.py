@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,8 @@ from .components import components
 from .groups import relabel, split, split_all, unite_partition, unite_sets
 from .vectors import nearest_target, similar_pairs
 
+#: Pairs of a component that one task decides.
+COMPONENT = 200_000
 #: Conflicts that a warning shows at most; always_never_conflicts has them all.
 SHOWN = 20
 LOG = "i string, j string, n_i long, n_j long, cos double"
@@ -77,6 +80,47 @@ def _agglomerate(group_cos: float | None):
     return run
 
 
+def agglomerate_rounds(nodes: DataFrame, edges: DataFrame, group_cos: float | None, scratch: Scratch) -> DataFrame:
+    """What the kernel does, for components of any size: (i, j, n_i, n_j, cos) from nodes (i, n, never) and edges (i, j, cos), i < j.
+
+    The pair that is the most similar one of both of its groups comes before any other that could change them, so all such pairs
+    are decided in one round, each the way one after the other would. Of two groups only the most similar pair, and how many
+    pairs reach group_cos, are kept, and both add up when groups are united; pairs that are given up are dropped.
+    """
+    groups = scratch.write(nodes.select(F.col("i").alias("g"), "n", F.lit(1).cast("long").alias("k"), F.coalesce("never", F.array().cast("array<long>")).alias("never")))
+    best = F.struct((-F.col("cos")).alias("far"), "i", "j", F.lit(True).alias("straight"))  # straight: i is on a's side
+    near = (F.col("cos") >= group_cos).cast("long") if group_cos is not None else F.lit(0).cast("long")
+    state = scratch.write(edges.select(F.col("i").alias("a"), F.col("j").alias("b"), best.alias("best"), near.alias("m")))
+    logs: list[DataFrame] = []
+    while not state.isEmpty():
+        ends = state.select(F.explode(F.array("a", "b")).alias("x"), "best").groupBy("x").agg(F.min("best").alias("best"))
+        of = lambda c: ends.select(F.col("x").alias(c), F.col("best").alias(f"best_{c}"))  # noqa: B023, E731
+        group = lambda c: groups.select(F.col("g").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "k", "never")))  # noqa: B023, E731
+        top = state.join(of("a"), "a").join(of("b"), "b").where((F.col("best") == F.col("best_a")) & (F.col("best") == F.col("best_b")))
+        ok = ~F.arrays_overlap("never_a", "never_b")
+        if group_cos is not None:
+            ok &= (F.col("k_a") + F.col("k_b") <= 2) | (F.col("m") == F.col("k_a") * F.col("k_b"))
+        side = lambda yes, no: F.when(F.col("best.straight"), F.col(yes)).otherwise(F.col(no))
+        decided = top.join(group("a"), "a").join(group("b"), "b").select("a", "b", ok.alias("ok"), "best.i", "best.j", side("n_a", "n_b").alias("n_i"), side("n_b", "n_a").alias("n_j"), (-F.col("best.far")).alias("cos"))
+        decided = scratch.write(decided)
+        united = decided.where("ok")
+        logs.append(united.select("i", "j", "n_i", "n_j", "cos"))
+        to = united.select(F.col("b").alias("old"), F.col("a").alias("new"))
+        moved = groups.join(to, F.col("g") == F.col("old"), "left").select(F.coalesce("new", "g").alias("g"), "n", "k", "never")
+        after = scratch.write(moved.groupBy("g").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.array_distinct(F.flatten(F.collect_list("never"))).alias("never")))  # two at most
+        rest = state.join(decided.select("a", "b"), ["a", "b"], "left_anti")
+        for c in ("a", "b"):
+            rest = rest.join(to.select(F.col("old").alias(c), F.col("new").alias(f"new_{c}")), c, "left")
+        x, y = F.coalesce("new_a", "a"), F.coalesce("new_b", "b")
+        turned = F.struct("best.far", "best.i", "best.j", (F.col("best.straight") == (x < y)).alias("straight"))
+        rest = rest.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), turned.alias("best"), "m").groupBy("a", "b").agg(F.min("best").alias("best"), F.sum("m").alias("m"))
+        rest = scratch.write(rest)
+        scratch.drop(state, groups)
+        state, groups = rest, after
+    empty = nodes.sparkSession.createDataFrame([], LOG)
+    return reduce(DataFrame.unionByName, logs, empty)
+
+
 def unite_similar(
     vectors: DataFrame, threshold: float = 0.5, alpha: float = 50.0, group_threshold: float | None = None, always: DataFrame | None = None, never: DataFrame | None = None, conflicts: str = "warn"
 ) -> DataFrame:
@@ -107,8 +151,8 @@ def united_pairs(
 ) -> DataFrame:
     """(i, j, n_i, n_j, cos[, always_match]): the pairs that the constrained way unites, with both groups' counts before.
 
-    Greedy choices never look beyond a component of the threshold graph, so each component is one task's work; a component is
-    the unit of memory there. Without constraints the pairs are the maximum spanning forest.
+    Greedy choices never look beyond a component of the threshold graph, so a component is one task's work while it has at most
+    COMPONENT pairs; a larger one is decided in rounds over tables. Without constraints the pairs are the maximum spanning forest.
     """
     if group_threshold and group_threshold < threshold:
         raise ValueError("group_threshold is below threshold")
@@ -135,7 +179,14 @@ def united_pairs(
     nodes = nodes.select("root", "i", F.lit(None).cast("string").alias("j"), "n", "never", F.lit(None).cast("double").alias("cos"))
     edges = pairs.join(roots.withColumnRenamed("string", "string0"), "string0").select("root", F.col("string0").alias("i"), F.col("string1").alias("j"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("array<long>").alias("never"), "cos")
     kernel = _agglomerate(score_to_cos(group_threshold, alpha) if group_threshold else None)
-    log = nodes.unionByName(edges).groupBy("root").applyInPandas(kernel, LOG)
+    # a component of very many pairs isn't one task's work: its pairs are decided in rounds
+    large = scratch.write(edges.groupBy("root").agg(F.count("*").alias("k")).where(F.col("k") > COMPONENT).select("root"))
+    if large.isEmpty():
+        log = nodes.unionByName(edges).groupBy("root").applyInPandas(kernel, LOG)
+    else:
+        far = score_to_cos(group_threshold, alpha) if group_threshold else None
+        rounds = agglomerate_rounds(nodes.join(large, "root").select("i", "n", "never"), edges.join(large, "root").select("i", "j", "cos"), far, scratch)
+        log = nodes.unionByName(edges).join(large, "root", "left_anti").groupBy("root").applyInPandas(kernel, LOG).unionByName(rounds)
     if always is None:
         return log
     a, b = labels.select(F.col("string").alias("i"), F.col("label").alias("_a")), labels.select(F.col("string").alias("j"), F.col("label").alias("_b"))

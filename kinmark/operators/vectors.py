@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.scores import dot, l2_normalize, pair_loss, score, score_to_cos, weight
 from ..plans.skew import join_unique
+from ..plans.storage import Scratch
 from .groups import listed
 
 BLOCK = 2048
@@ -60,6 +61,7 @@ def similar_pairs(vectors: DataFrame, min_cos: float) -> DataFrame:
     Rows are spread over blocks by hash and blocks are paired, each pair of blocks one task of two bounded matrices; a row goes
     to as many tasks as there are blocks. That is the price of exactness; nothing is broadcast and no block grows with the data.
     """
+    vectors = Scratch(vectors.sparkSession).write(vectors.select("string", "v"))  # made once, for the count as well
     n = _blocks(vectors.count())
     rows = vectors.select("string", "v", F.pmod(F.xxhash64("string"), F.lit(n)).cast("int").alias("b"))
     grid = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(F.least(F.col("b"), j).alias("i"), F.greatest(F.col("b"), j).alias("j")))
@@ -86,6 +88,8 @@ def nearest_target(vectors: DataFrame, targets: DataFrame, min_cos: float | None
 
     Targets are cut into blocks as well, so they may be of any number; each block gives its best, the best of these stays.
     """
+    scratch = Scratch(vectors.sparkSession)
+    vectors, targets = (scratch.write(x.select("string", "v")) for x in (vectors, targets))
     n, m = _blocks(vectors.count()), _blocks(targets.count())
     left = vectors.select("string", "v", F.lit(False).alias("t"), F.pmod(F.xxhash64("string"), F.lit(n)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
     right = targets.select("string", "v", F.lit(True).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), F.pmod(F.xxhash64("string"), F.lit(m)).cast("int").alias("j"))
@@ -149,6 +153,7 @@ def hardest_pairs(scored: DataFrame) -> DataFrame:
 def _labelled(vectors: DataFrame, matches: DataFrame, *more: str) -> DataFrame:
     """(string, v, group, more..., b, i, j): the vectors of the strings in matches, once for each pair of blocks they are in."""
     rows = vectors.select("string", "v").join(matches.select("string", "group", *more), "string")
+    rows = Scratch(vectors.sparkSession).write(rows)
     n = _blocks(rows.count())
     rows = rows.withColumn("b", F.pmod(F.xxhash64("string"), F.lit(n)).cast("int"))
     grid = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(F.least(F.col("b"), j).alias("i"), F.greatest(F.col("b"), j).alias("j")))

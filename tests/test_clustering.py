@@ -116,3 +116,17 @@ def test_alpha(spark):
     pairs = spark.createDataFrame([(0.95, True), (0.9, True), (0.4, False), (0.2, False)], "cos double, same boolean")
     alpha, loss = fit_alpha(pairs)
     assert 1 < alpha < 20 and loss < 0.4
+
+
+@pytest.mark.parametrize("group_threshold", [None, 0.6])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rounds_decide_as_one_pair_after_the_other(spark, monkeypatch, seed, group_threshold):
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(40, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    u = spark.createDataFrame([(f"s{i:02d}", int(i % 3 + 1), x.tolist()) for i, x in enumerate(v)], "string string, count long, v array<double>")
+    never = spark.createDataFrame([(int(rng.integers(4)), f"s{int(i):02d}") for i in rng.integers(0, 40, 14)], "set_id long, string string")
+    pairs = lambda: sorted((r["i"], r["j"], r["n_i"], r["n_j"], round(r["cos"], 9)) for r in clustering.united_pairs(u, 0.5, 2.0, group_threshold, never=never).collect())
+    one_task = pairs()
+    monkeypatch.setattr(clustering, "COMPONENT", 3)
+    assert pairs() == one_task and len(one_task) > 5
