@@ -7,6 +7,8 @@ a sentence. Masking keeps lengths, so restoring a sentence is reading its place
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from .words import once
 # Placeholder, one character for each masked one, and the sign put where a sentence ends.
 DOT, CUT = "\ue000", "\ue001"
 
-# Abbreviations after which a sentence goes on, whatever follows. Lists may be other ones: sentences() takes any.
+# Abbreviations after which a sentence goes on, whatever follows. sentences() takes more of them.
 TITLES = "Mr Mrs Ms Mx Dr Drs Prof Sgt Cpl Maj Cmdr Adm Capt Lt Col Gen Gov Sen Rep Rev Hon St Mt Ft Messrs Ing Mag Hr Hrn Fr Frl Sr Sra Srta Sres D Dña Dn Mme Mlle Mmes MM Me Mgr г-н г-жа гр им проф акад κ κα κος δρ Δρ Κ د أ م ا डॉ श्री प्रो पं ดร นาย".split()
 LEADING = "P.S P.P.S N.B e.g i.e cf vs viz approx ca c z.B d.h u.a u.U bzw sog vgl bspw p.ej P.ej p.ex т.е т.к напр см π.χ δηλ βλ".split()
 #: Abbreviations of two words with white space between.
@@ -51,7 +53,7 @@ SMALL = r"(?![\p{Ll}&&[^\p{IsGeorgian}]])"
 
 def _any(words: list[str]) -> str:
     """The words as alternatives, with a dot or its placeholder where they have one."""
-    return "|".join(w.replace(".", f"[.{DOT}]") for w in sorted(words, key=lambda w: (-len(w), w)))
+    return "|".join(re.escape(w).replace("\\.", f"[.{DOT}]") for w in sorted(words, key=lambda w: (-len(w), w)))
 
 
 def _either(words: list[str]) -> list[str]:
@@ -59,8 +61,9 @@ def _either(words: list[str]) -> list[str]:
     return [*dict.fromkeys(x for w in words for x in (w, w[:1].upper() + w[1:]))]
 
 
-def masks() -> str:
-    """A pattern of single dots that end nothing: a dot, then what is before and behind it, looked at there only."""
+def masks(more: tuple[str, ...] = ()) -> str:
+    """A pattern of single dots that end nothing: a dot, then what is before and behind it, looked at there only. more are
+    further abbreviations, without their last dot."""
     after = lambda before, words, ahead: f"(?<={before}(?:{_any(words)})[.])(?={ahead})"
     each = [
         # decimals, times and versions; the name in an address, of 64 characters at most by the rules of mail
@@ -69,7 +72,7 @@ def masks() -> str:
         # abbreviations; of two letters with white space between, both dots
         rf"(?<={WORD}(?:{'|'.join(sorted({x[0] for x in SPACED}))})[.])(?={GAP}(?:{'|'.join(sorted({x[1] for x in SPACED}))})[.])",
         rf"(?<={WORD}(?:{'|'.join(f'{x}[.{DOT}]{NARROW}{y}' for x, y in SPACED)})[.])",
-        after(WORD, TITLES + _either(LEADING) + MONTHS_RU, SPACE),
+        after(WORD, TITLES + _either([*LEADING, *more]) + MONTHS_RU, SPACE),
         after(WORD, BEFORE_NUMBER, rf"{GAP}(?:[(#№]?\p{{Nd}}|[A-Z][.{DOT}]?\p{{Nd}}|[IVXLC]+\b)"),
         after(WORD, MONTHS, rf"{GAP}\p{{Nd}}"),
         after(WORD, STREETS, rf"{SPACE}+[\p{{IsCyrillic}}\p{{Nd}}]"),
@@ -145,11 +148,11 @@ def own_prose(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("_id", (F.length("_h") + F.length("_lead") - 1).alias("_at"), F.array_join(kept, "\n").alias("prose"))
 
 
-def pieces(rows: DataFrame) -> DataFrame:
+def pieces(rows: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """rows with pieces, the prose in parts of which each holds one sentence and white space, or white space only."""
     text = F.translate("prose", DOT + CUT, "\ufffd\ufffd")
     text = F.when(text.contains("://") | text.contains("www."), F.regexp_replace(text, LINK, f"$1{DOT}")).otherwise(text)
-    cut = F.regexp_replace(F.regexp_replace(text, masks(), DOT), cuts(), f"$0{CUT}")
+    cut = F.regexp_replace(F.regexp_replace(text, masks(more), DOT), cuts(), f"$0{CUT}")
     rows = once(rows, "_o", F.split(cut, CUT))
     # in Thai white space ends a sentence: all of it where most letters are Thai, elsewhere that between Thai letters
     of = lambda p, kept: F.length(F.regexp_replace(p, f"[^{kept}]+", ""))
@@ -171,12 +174,13 @@ def starts(lengths: Column, block: int = 256) -> Column:
     return F.flatten(F.transform(blocks, lambda b, i: F.transform(F.slice(running(b), 1, F.size(b)), lambda x: x + F.get(heads, i))))
 
 
-def sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
     """(id, start_at, end_at): places of the sentences of each text's own prose, in code points, end exclusive.
 
-    Null and empty texts and messages without own prose give no row; of equal texts each gives its own.
+    Null and empty texts and messages without own prose give no row; of equal texts each gives its own. more are abbreviations
+    beyond those known here, such as a language's or a trade's own.
     """
-    rows = pieces(once(own_prose(df, id_col, text_col), "prose", F.col("prose")).where(F.col("prose").rlike(r"\S")))
+    rows = pieces(once(own_prose(df, id_col, text_col), "prose", F.col("prose")).where(F.col("prose").rlike(r"\S")), more)
     rows = once(rows, "_n", F.transform("pieces", lambda p: F.length(p)))
     rows = once(rows.select("_id", "_at", "pieces", "_n"), "_s", starts(F.col("_n")))
     each = rows.select("_id", "_at", F.explode(F.arrays_zip("pieces", "_s")).alias("e")).select("_id", (F.col("_at") + F.col("e._s")).alias("s"), F.col("e.pieces").alias("p"))

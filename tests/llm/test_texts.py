@@ -188,6 +188,8 @@ def test_sentences(spark):
     for i, (text, want) in enumerate(CASES):
         assert got[i] == want, text
     assert sentences.sentences(df.where("false")).count() == 0
+    one = spark.createDataFrame([(1, "See the Abt. Nord. Done.")], "doc_id long, text string")
+    assert [sentences.sentences(one, more=m).count() for m in ((), ("abt",))] == [3, 2]
 
 
 def test_long_text_has_all_sentences(spark):
