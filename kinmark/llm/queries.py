@@ -121,6 +121,13 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(mixed_documents(table(spark, sf_dir, "documents"), targets), targets)
 
 
+def p9_exact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixture import mix_report, mixed_documents
+
+    targets = table(spark, sf_dir, "mix_targets")
+    return mix_report(mixed_documents(table(spark, sf_dir, "documents"), targets, exact_shares=True), targets)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentences import sentences
 
@@ -129,7 +136,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     p1_found, p1_values, p1_sources, p2_found, p2_skeletons, p3_found, p4_found, p4_splits, p4_report, p5_found, p6_found, p6_collapsed, p6_records, p7_found,
-    p8_boxes, p8_report, p9_mix, p9_report, p10_found,
+    p8_boxes, p8_report, p9_mix, p9_report, p9_exact_report, p10_found,
 )}
 
 SQL: dict[str, str] = {
