@@ -817,7 +817,7 @@ def levenshtein_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def tfidf_names(spark: SparkSession, d: str) -> DataFrame:
-    return spelling.tfidf_top1(table(spark, d, "matcher"), "string", 3, 0.8)
+    return spelling.tfidf_top1(table(spark, d, "matcher"), "string", 5, 0.8)
 
 
 @query()
