@@ -5,9 +5,9 @@ groups are one word (short forms, short given names), words that come and go ins
 and the other words that many groups share are kinds (lines of business, given names), in which names must agree. The rest of
 a name, its core, becomes a sparse vector of character n-grams, weighted by inverse document frequency.
 
-Names of one kind meet where they share a part: a core is held under its k + 1 parts and asked for by all its n-grams of the
-parts' lengths, so no two within k slips miss one another; a sketch of their letters turns away who met by chance. Of the
-pairs that are left cosines are exact. Ungrouped names are clustered by average linkage, and a cluster goes to the group of
+All names of one kind are compared in blocks, and none that may be within the edits allowed is turned away: sketches of letters
+and of the letters that follow one another tell how many edits two cores are apart at least, then the edits are counted. Of
+the pairs that are left cosines are exact. Ungrouped names are clustered by average linkage, and a cluster goes to the group of
 greatest average linkage to it.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -48,10 +49,12 @@ NICKNAMES = {short: name for names in SHORT_FORMS.replace("\n", " ").split(";")
 #: A word is common in a table where at least 1/COMMON of the groups have it, a habit of groups where 1/HABIT of them show it;
 #: at the least 5 and 3. So at most COMMON x words of a name are common.
 COMMON, HABIT, FEW_COMMON, FEW_HABIT = 2000, 5000, 5, 3
-#: Slips (letters left out, put in, replaced or swapped) within which no pair is missed; bits of the sketch these may change.
-SLIPS, SPREAD = 2, 4
+#: Slips (letters left out, put in, replaced or swapped) that a name of any length may have.
+SLIPS = 2
 #: N-grams of more than 1/RARE of the names have their own weight.
 RARE = 1000
+#: Cores that a task compares with as many others, pairs that it looks at at once, and letters of a core that a word of the machine holds.
+BLOCK, AT_ONCE, WORD = 1 << 14, 1 << 18, 64
 #: Edits as a share of the longer core; average linkage that names need to be one cluster, and to go to a group.
 MAX_EDITS, CLUSTER, FLOOR = 0.3, 0.5, 0.05
 WIDE = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]"
@@ -346,25 +349,133 @@ def cosines(a: list[str], b: list[str], weights: Weights) -> np.ndarray:
     return np.bincount(ra[met], wa[met] * wb[at[met]], minlength=len(a))
 
 
-def near_pairs(points: DataFrame, weights: Weights, scratch: Scratch) -> DataFrame:
-    """(q, f, cos, edits, share) of asked points and others of their kind that pass the check by edits.
+def most_edits(length: int) -> int:
+    """The most edits within which two cores can be one another's variants by their number, the longer one having so many letters."""
+    return max(SLIPS, *(e for e in range(int(MAX_EDITS * length) + 2) if e <= SLIPS or e / length <= MAX_EDITS))
 
-    points is (id, gid, kind, given, core, n); gid is null for what is asked.
+
+def following(runs: list[str]) -> np.ndarray:
+    """256 bits, in a row of four numbers, of each two letters that follow one another. An edit takes two away at most."""
+    letters = Letters.of(runs)
+    at = letters.inside(2)
+    has = np.zeros((len(runs), 256), bool)
+    has[letters.row[at], (letters.rolling(2)[at] & np.uint64(255)).astype(np.int64)] = True
+    return np.packbits(has, axis=1, bitorder="little").view(np.uint64)
+
+
+class Runs(NamedTuple):
+    """Cores written without spaces in one order of words: letters modulo 32 by place, and by letter the bits of its places.
+    What is longer than a machine's word is cut off, so it can't be compared by these."""
+
+    letters: np.ndarray
+    places: np.ndarray
+
+    @staticmethod
+    def of(runs: list[str]) -> Runs:
+        of = Letters.of([r[:WORD] for r in runs])
+        place = np.arange(len(of.points)) - of.begin[of.row]
+        letters = np.zeros((len(runs), WORD), np.int64)
+        letters[of.row, place] = (of.points & np.uint64(31)).astype(np.int64)
+        places = np.zeros((len(runs), 32), np.uint64)
+        np.bitwise_or.at(places, (of.row, letters[of.row, place]), np.uint64(1) << place.astype(np.uint64))
+        return Runs(letters, places.ravel())
+
+    def edits(self, a: np.ndarray, n: int, other: Runs, b: np.ndarray, m: int) -> np.ndarray:
+        """Levenshtein distances, letters modulo 32, of these cores at a, of n letters each, and the other's at b, of m: columns
+        of the table of distances are differences in bits, all pairs at a time (Myers)."""
+        one, up, down = np.uint64(1), np.full(len(a), ~np.uint64(0)), np.zeros(len(a), np.uint64)
+        distance, last, base = np.full(len(a), m), np.uint64(m - 1), 32 * b
+        for i in range(n):
+            equal = other.places[base + self.letters[a, i]]
+            x = equal | down
+            across = (((equal & up) + up) ^ up) | equal
+            more, less = down | ~(across | up), up & across
+            distance += ((more >> last) & one).astype(np.int64) - ((less >> last) & one).astype(np.int64)
+            more, less = more << one | one, less << one
+            up, down = less | ~(x | more), more & x
+        return distance
+
+
+def close_pairs(cores: list[str], asked: np.ndarray, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (q, f) of cores, q one of asked and f one of others, of all pairs that can pass the check by edits and of some more.
+
+    Nothing that passes is left out: of two cores within k edits each has k letters at most that the other lacks, in any order of
+    words, and 2 k of those that follow one another in all orders while the other has them in none. Cores of the same letters but
+    two are always given. Where a core is too long for a machine's word its edits aren't counted here.
+    """
+    runs = [[_run(c) for c in cores], [_turned(c) for c in cores], ["".join(sorted(c.split(" "))) for c in cores]]
+    length = np.fromiter(map(len, runs[0]), np.int64, len(cores))
+    bits = sketch(cores).to_numpy().view(np.uint64)
+    number = np.bitwise_count(bits).astype(np.int8)
+    each = [following(r) for r in runs]
+    always, ever = each[0] & each[1] & each[2], each[0] | each[1] | each[2]
+    plain, turned, ordered = (Runs.of(r) for r in runs)
+    orders = [(plain, plain), (plain, turned), (turned, plain), (ordered, ordered)]
+    held = {n: others[length[others] == n] for n in np.unique(length[others]).tolist()}
+
+    def counted(q: np.ndarray, f: np.ndarray, n: int, m: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if max(n, m) > WORD:
+            return q, f
+        few = np.zeros(len(q), bool)
+        for a, b in orders:
+            rest = np.flatnonzero(~few)
+            few[rest] = a.edits(q[rest], n, b, f[rest], m) <= k
+        return q[few], f[few]
+
+    for n in np.unique(length[asked]).tolist():
+        ask = asked[length[asked] == n]
+        for m, of in held.items():
+            k = most_edits(max(n, m))
+            if abs(n - m) > k:
+                continue
+            waiting: list[tuple[np.ndarray, np.ndarray]] = []
+            step = max(1, AT_ONCE // len(of))
+            for begin in range(0, len(ask), step):
+                some = ask[begin : begin + step]
+                apart = np.bitwise_count(bits[some][:, None] ^ bits[of][None, :]).astype(np.int16)
+                apart += np.abs(number[some][:, None] - number[of][None, :])  # twice the letters that one has and the other lacks
+                q, f = np.divmod(np.flatnonzero(apart <= 2 * k), len(of))
+                same = apart[q, f] <= 2 * SLIPS
+                q, f = some[q], of[f]
+                yield q[same], f[same]
+                q, f = q[~same], f[~same]
+                lost = np.maximum(*(np.bitwise_count(always[a] & ~ever[b]).sum(1, dtype=np.int64) for a, b in ((q, f), (f, q))))
+                waiting.append((q[lost <= 2 * k], f[lost <= 2 * k]))
+                if sum(len(x) for x, _ in waiting) > AT_ONCE // 4 or begin + step >= len(ask):
+                    yield counted(*map(np.concatenate, zip(*waiting, strict=True)), n, m, k)
+                    waiting = []
+
+
+def met_pairs(points: DataFrame, scratch: Scratch) -> DataFrame:
+    """(q, f): ids of asked points and others of their kind, all that can pass the check by edits, each pair once.
+
+    Those of a kind are parted into blocks by a hash, and each two blocks are a task's work: memory is bounded by the blocks, and
+    the work grows as the asked names of a kind times all its names.
     """
-    def posting(rows: DataFrame, of, name: str) -> DataFrame:
-        """(k, name, b): a row for each key of each core, with the core's sketch. Both in one function: after the explode it would run for each key."""
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    sizes = points.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("gid").isNull()).alias("asked")).where("asked > 0")
+    rows = join_unique(points.select("id", "kind", "core", F.col("gid").isNull().alias("ask")), sizes, ["kind"], "n", scratch=scratch)
+    at = lambda c: F.pmod(F.xxhash64("id"), blocks(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    held = rows.select("kind", at("n").alias("x"), every("asked").alias("y"), "id", "core", F.lit(False).alias("ask"))
+    asked = rows.where("ask").select("kind", every("n").alias("x"), at("asked").alias("y"), "id", "core", "ask")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches)
+        ids, ask = group.column("id").to_numpy(), group.column("ask").to_numpy()
+        for q, f in close_pairs(group.column("core").to_pylist(), np.flatnonzero(ask), np.flatnonzero(~ask)):
+            differ = ids[q] != ids[f]  # what is asked is one of the others as well
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q[differ]]), pa.array(ids[f[differ]])], names=["q", "f"])
+
+    return held.unionByName(asked).groupBy("kind", "x", "y").applyInArrow(meet, "q long, f long")
 
-        def run(column: pa.Array) -> pa.Array:
-            cores = column.to_pylist()
-            return pa.StructArray.from_arrays([sketch(cores), of(cores)], ["bits", "keys"])
 
-        made = rows.select(F.col("id").alias(name), "kind", F.arrow_udf(run, "struct<bits:long,keys:array<long>>")("core").alias("m"))
-        return made.select(name, "kind", F.col("m.bits").alias(f"b{name}"), F.explode("m.keys").alias("e")).select(F.xxhash64("kind", "e").alias("k"), name, f"b{name}")
+def near_pairs(points: DataFrame, weights: Weights, scratch: Scratch) -> DataFrame:
+    """(q, f, cos, edits, share) of asked points and others of their kind that pass the check by edits.
 
-    # what is asked lies in few files
-    asked = points.where("gid is null").repartition(2 * points.sparkSession.sparkContext.defaultParallelism)
-    left, right = posting(asked, probe_keys, "q"), posting(points, held_keys, "f")
-    met = left.join(right.hint("shuffle_hash"), "k").where(F.col("q") != F.col("f")).where(F.bit_count(F.col("bq").bitwiseXOR(F.col("bf"))) <= SPREAD).select("q", "f").distinct()
+    points is (id, gid, kind, given, core, n); gid is null for what is asked.
+    """
+    met = met_pairs(points, scratch)
     side = lambda of, name: points.select(F.col("id").alias(name), F.col("given").alias(f"g{name}"), F.col("core").alias(f"c{name}")) if of is None else of
     rows = met.join(side(None, "f"), "f").join(points.where("gid is null").select(F.col("id").alias("q"), F.col("given").alias("gq"), F.col("core").alias("cq")), "q")
     rows = rows.where((F.col("gq") == "") | (F.col("gf") == "") | (F.col("gq") == F.col("gf")))

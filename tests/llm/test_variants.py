@@ -110,3 +110,64 @@ def test_parse_is_by_row():
     got = variants.parse(pa.array(["a brwy pobelta zrt", "bob c munkvik", "q munkvik", "zrt", "x y", "robert brewery"]), known).to_pylist()
     p = lambda *x: dict(zip(("kind", "given", "core"), x, strict=True))
     assert got == [p("brewery", "", "pobelta"), p("~r", "robert", "munkvik"), p("~q", "", "munkvik"), None, p("~x", "", "x y"), p("brewery", "", "robert")]
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        above, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            above, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, above + (x != y))
+    return row[-1]
+
+
+def passing(a, b):
+    """Whether two cores are within the edits allowed, or have the same letters but two."""
+    x, y = a.split(" "), b.split(" ")
+    runs = [("".join(p), "".join(q)) for p, q in ((x, y), (x, y[::-1]), (x[::-1], y), (sorted(x), sorted(y)))]
+    longer = max(len(p) for p in runs[0])
+    least = min(distance(p, q) for p, q in runs)
+    return least <= 2 or least / longer <= variants.MAX_EDITS, least <= longer / 2 + 1 and distance(sorted(runs[0][0]), sorted(runs[0][1])) <= 2
+
+
+def variant_cores(seed, words, letters, n):
+    rng = random.Random(seed)
+    cores = []
+    for _ in range(n):
+        form = ["".join(rng.choice("abcdeéж日") for _ in range(max(1, letters + rng.randrange(-2, 3)))) for _ in range(words)]
+        cores.append(" ".join(form))
+        typed = list(cores[-1])
+        for _ in range(rng.randrange(variants.most_edits(letters * words) + 3)):
+            typed = typed or ["a"]
+            i = rng.randrange(len(typed))
+            typed[i : i + 1] = rng.choice([[], [rng.choice("abxy")], [typed[i], "z"], ["q"]])
+        again = "".join(typed).split() or ["a"]
+        rng.shuffle(again)
+        cores.append(" ".join(again))
+    return cores
+
+
+@pytest.mark.parametrize("words,letters", [(1, 2), (1, 6), (2, 5), (2, 9), (3, 6), (4, 15), (3, 25)])
+def test_no_pair_within_the_edits_is_left_out(words, letters):
+    cores = variant_cores(words, words, letters, 25)
+    places = np.arange(len(cores))
+    got = [(a, b) for q, f in variants.close_pairs(cores, places, places) for a, b in zip(q.tolist(), f.tolist(), strict=True)]
+    assert len(got) == len(set(got))
+    want = {(i, j) for i in places.tolist() for j in places.tolist() if any(passing(cores[i], cores[j]))}
+    assert len(want) > len(cores) and want <= set(got)
+
+
+def test_near_pairs_are_those_of_all_blocks(spark, monkeypatch):
+    monkeypatch.setattr(variants, "BLOCK", 7)
+    cores = variant_cores(5, 1, 12, 20)
+    rows = [(i, None if i % 2 else i, f"k{i // 2 % 2}", "", c, 1) for i, c in enumerate(cores)]
+    points = spark.createDataFrame(rows, "id long, gid long, kind string, given string, core string, n long")
+    got = sorted((r["q"], r["f"]) for r in variants.near_pairs(points, variants.gram_weights(points), Scratch(spark)).collect())
+    alike = lambda a, b: distance(a, b) <= max(len(a), len(b)) / 4 + 1 or passing(a, b)[1]
+    words = lambda a, b: a.count(" ") != b.count(" ") or alike(a, b)
+    assert got == [(q, f) for q in range(1, 40, 2) for f in range(40) if q != f and rows[q][2] == rows[f][2] and any(passing(cores[q], cores[f])) and words(cores[q], cores[f])]
+
+
+def test_slips_in_every_part_of_a_name(spark):
+    groups = [["Quelbrant Ostwyckmor"], ["Harnwick Delphoramund"]]
+    assert linked(spark, groups, ["Quxlbrant Oxtwyckxor", "Delxhoramxnd Hxrnwick", "Quxlbxant Xstwxckxor"]) == [groups[0][0], groups[1][0], groups[0][0]]
