@@ -24,16 +24,31 @@ def collapsed(df: DataFrame, id_col: str = "row_id", string_col: str = "string",
     keep_id is the smallest id, norm its normal text, copies the number of rows, total the sum of count (a null counts 1).
     Rows without any word are no copies of one another and are left out. A hot set is counted by partial aggregation.
     """
-    rows = fingerprints(df, id_col, string_col, count_col)
-    return _counted(rows.withColumn("third", multiset_hash(F.split("norm", " "), 3)), F.min_by("norm", "_id").alias("norm"), F.col(f"_x_{count_col}")).select("fp1", "fp2", "keep_id", "norm", "copies", "total")
+    return _counted(fingerprints(df, id_col, string_col, count_col), "norm", F.col(f"_x_{count_col}")).select("fp1", "fp2", "keep_id", "norm", "copies", "total")
 
 
-def _counted(rows: DataFrame, kept: Column, count: Column) -> DataFrame:
-    """One row for each fingerprint of rows (_id, fp1, fp2, third): keep_id, kept, copies, total. What differs in the third hash
-    fails by name instead of being counted together."""
-    sets = rows.groupBy("fp1", "fp2").agg(F.min("_id").alias("keep_id"), kept, F.count("*").alias("copies"), F.sum(F.coalesce(count, F.lit(1))).alias("total"), F.min("third").alias("low"), F.max("third").alias("high"))
-    clash = F.raise_error(F.concat(F.lit("fingerprints collide at id "), F.col("keep_id").cast("string"))).cast("long")
-    return sets.withColumn("copies", F.when(F.col("low") == F.col("high"), F.col("copies")).otherwise(clash)).drop("low", "high")
+def _same(a: str, b: str) -> Column:
+    """Whether two normal texts hold the same words equally often."""
+    return (F.col(a) == F.col(b)) | same_multiset(F.split(a, " "), F.split(b, " "))
+
+
+def _counted(rows: DataFrame, what: str, count: Column) -> DataFrame:
+    """One row for each fingerprint of rows (_id, fp1, fp2, what): keep_id, the kept row's what, copies, total.
+
+    Every row is compared with the kept one of its set, words or fields as multisets; where they differ it fails by name, before
+    anything is counted together.
+    """
+    scratch = Scratch(rows.sparkSession)
+    rows = scratch.write(rows)  # read twice below
+    sets = rows.groupBy("fp1", "fp2").agg(F.min("_id").alias("keep_id"), F.min_by(what, "_id").alias("kept"), F.count("*").alias("copies"), F.sum(F.coalesce(count, F.lit(1))).alias("total"))
+    sets = scratch.write(sets)
+    both = join_unique(rows.select("fp1", "fp2", what), sets.where("copies > 1").drop("total"), ["fp1", "fp2"], "copies", scratch=scratch)
+    same = _same(what, "kept") if dict(rows.dtypes)[what] == "string" else (F.col(what) == F.col("kept")) | same_multiset(F.col(what), F.col("kept"))
+    clash = both.where(~same).agg(F.min("keep_id")).first()[0]
+    if clash is not None:
+        raise ValueError(f"fingerprints collide at id {clash}")
+    scratch.drop(rows)
+    return sets.withColumnRenamed("kept", what)
 
 
 def collapsed_records(df: DataFrame, fields: list[str], id_col: str = "row_id", count_col: str = "count") -> DataFrame:
@@ -46,8 +61,8 @@ def collapsed_records(df: DataFrame, fields: list[str], id_col: str = "row_id",
     pairs = F.array(*(F.struct(F.lit(f).alias("field"), normal_text(F.col(f).cast("string")).alias("value")) for f in fields))
     rows = once(df.select(F.col(id_col).alias("_id"), F.col(count_col).alias("_n"), pairs.alias("_p")), "_p", F.col("_p"))
     rows = rows.select("_id", "_n", F.filter("_p", lambda p: F.coalesce(p["value"], F.lit("")) != "").alias("fields")).where(F.size("fields") > 0)
-    rows = rows.withColumns({"fp1": multiset_hash(F.col("fields"), 1), "fp2": multiset_hash(F.col("fields"), 2), "third": multiset_hash(F.col("fields"), 3)})
-    return _counted(rows, F.min_by("fields", "_id").alias("fields"), F.col("_n")).select("keep_id", "fields", "copies", "total")
+    rows = rows.withColumns({"fp1": multiset_hash(F.col("fields"), 1), "fp2": multiset_hash(F.col("fields"), 2)})
+    return _counted(rows, "fields", F.col("_n")).select("keep_id", "fields", "copies", "total")
 
 
 def copies_found(df: DataFrame, id_col: str = "row_id", string_col: str = "string") -> DataFrame:
@@ -60,6 +75,5 @@ def copies_found(df: DataFrame, id_col: str = "row_id", string_col: str = "strin
     rows = Scratch(df.sparkSession).write(fingerprints(df, id_col, string_col))  # read three times below
     sets = rows.groupBy("fp1", "fp2").agg(F.min("_id").alias("keep_id"), F.min_by("norm", "_id").alias("kept"), F.count("*").alias("copies")).where("copies > 1")
     both = join_unique(rows, sets, ["fp1", "fp2"], "copies").where("_id != keep_id")
-    same = (F.col("norm") == F.col("kept")) | same_multiset(F.split("norm", " "), F.split("kept", " "))
-    checked = F.when(same, F.col("_id")).otherwise(F.raise_error(F.concat(F.lit("fingerprints collide: "), F.col("norm"), F.lit(" / "), F.col("kept"))).cast("long"))
+    checked = F.when(_same("norm", "kept"), F.col("_id")).otherwise(F.raise_error(F.concat(F.lit("fingerprints collide: "), F.col("norm"), F.lit(" / "), F.col("kept"))).cast("long"))
     return both.select("keep_id", checked.alias("row_id"))

@@ -3,6 +3,9 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from kinmark.llm import copies, lookalike, splits, survivor
 from kinmark.llm.linked import linked_strings
 
@@ -96,6 +99,16 @@ def test_records_of_several_fields(spark):
     assert [(r["keep_id"], r["copies"], r["total"]) for r in same] == [(1, 2, 2)]
 
 
+def test_copies_are_compared_and_not_their_hashes_alone(spark, monkeypatch):
+    df = matcher(spark, [(1, "a b", 1, "x", "f", 0), (2, "b A.", 1, "X", "f", 0), (3, "a a", 1, "x", "f", 0)])
+    monkeypatch.setattr(copies, "multiset_hash", lambda words, seed: F.lit(7).cast("long"))
+    assert [r["copies"] for r in copies.collapsed(df.where("row_id < 3")).collect()] == [2]
+    assert [r["copies"] for r in copies.collapsed_records(df.where("row_id < 3"), ["group", "feed"]).collect()] == [2]
+    for made in (lambda: copies.collapsed(df), lambda: copies.collapsed_records(df, ["string", "group"]), lambda: copies.copies_found(df)):
+        with pytest.raises(Exception, match="fingerprints collide"):
+            made().collect()
+
+
 def test_related_labels_and_splits(spark):
     rows = [(1, "A B", 1, "g1", "x", 0), (2, "b a", 1, "g2", "x", 0), (3, "C", 1, "g2", "x", 0), (4, "c.", 1, "g3", "x", 0), (5, "b, a", 1, None, "x", 0), (6, None, 1, None, "x", 0), (7, "--", 1, "g4", "x", 0), (8, "--", 1, "g5", "x", 0)]
     rows += [(100 + i, f"name{i}", 1, f"u{i}" if i % 2 else None, "x", 0) for i in range(92)]
