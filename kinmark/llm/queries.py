@@ -12,9 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .survivor import best_representatives
+    from .survivor import survivors
 
-    return best_representatives(table(spark, sf_dir, "matcher")).select("group", "row_id")
+    return survivors(table(spark, sf_dir, "matcher")).select("group", "row_id")
+
+
+def p1_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .survivor import judged_representatives
+
+    return judged_representatives(table(spark, sf_dir, "matcher"))
 
 
 def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +141,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    p1_found, p1_values, p1_sources, p2_found, p2_skeletons, p3_found, p4_found, p4_splits, p4_report, p5_found, p6_found, p6_collapsed, p6_records, p7_found,
+    p1_found, p1_judged, p1_values, p1_sources, p2_found, p2_skeletons, p3_found, p4_found, p4_splits, p4_report, p5_found, p6_found, p6_collapsed, p6_records, p7_found,
     p8_boxes, p8_report, p9_mix, p9_report, p9_exact_report, p10_found,
 )}
 

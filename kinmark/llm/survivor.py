@@ -97,13 +97,18 @@ def fit_quality(patterns: DataFrame) -> Quality:
     return q
 
 
+def _entities(values: DataFrame, kept: list[str], *more: Column) -> DataFrame:
+    """(g, best, strings, more...) of each entity of two or more values; best holds the kept columns of the heaviest value."""
+    best = F.min_by(F.struct(*kept), F.struct(-F.col("weight"), F.col("s"))).alias("best")
+    return values.groupBy("g").agg(best, F.count("*").alias("strings"), *more).where("strings > 1")
+
+
 def _fit(df: DataFrame, columns: dict[str, str]) -> tuple[DataFrame, DataFrame, Quality]:
     """The values of all entities, the entities of two or more values, and the sources' fitted quality."""
     scratch = Scratch(df.sparkSession)
     values = scratch.write(facts(claims(df, **columns)))
     cover = F.array_sort(F.array_distinct(F.flatten(F.collect_set("feeds")))).alias("covering")  # sets of feeds, so bounded by the sources
-    best = F.min_by(F.struct("s", "id", "weight", "feeds"), F.struct(-F.col("weight"), F.col("s"))).alias("best")
-    entities = scratch.write(values.groupBy("g").agg(best, F.count("*").alias("strings"), cover).where("strings > 1"))
+    entities = scratch.write(_entities(values, ["s", "id", "weight", "feeds"], cover))
     # values of the same claims behave alike: the number of values by (claims, covering feeds) is all that EM needs
     by_claims = values.groupBy("g", "feeds").agg(F.count("*").alias("facts"))
     joined = by_claims.join(entities.select("g", "covering"), "g")
@@ -111,13 +116,19 @@ def _fit(df: DataFrame, columns: dict[str, str]) -> tuple[DataFrame, DataFrame,
     return values, entities, fit_quality(patterns)
 
 
-def best_representatives(df: DataFrame, **columns: str) -> DataFrame:
-    """For each group that holds two or more different strings, its survivor: (group, row_id, string, count, strings, truth).
+def survivors(df: DataFrame, **columns: str) -> DataFrame:
+    """For each group that holds two or more different strings, its survivor by counts and dates: (group, row_id, string, count, strings).
 
     string is the value with the greatest sum of count (a null counts 1, a row delivered again counts once, ties: the first
-    string); row_id is its best row (see facts); truth is the posterior of that value under the sources' fitted quality.
-    Groups of one value, null groups and null strings give no row; an empty string is a value.
+    string); row_id is its best row (see facts). Groups of one value, null groups and null strings give no row; an empty string
+    is a value. The model of sources has no part in this, so it isn't fitted.
     """
+    entities = _entities(facts(claims(df, **columns)), ["s", "id", "weight"])
+    return entities.select(F.col("g").alias("group"), F.col("best.id").alias("row_id"), F.col("best.s").alias("string"), F.col("best.weight").alias("count"), "strings")
+
+
+def best_representatives(df: DataFrame, **columns: str) -> DataFrame:
+    """The survivors, with the posterior of each one's value under the sources' fitted quality: (group, row_id, string, count, strings, truth)."""
     _, entities, q = _fit(df, columns)
     return entities.select(
         F.col("g").alias("group"), F.col("best.id").alias("row_id"), F.col("best.s").alias("string"), F.col("best.weight").alias("count"), "strings",
@@ -125,6 +136,20 @@ def best_representatives(df: DataFrame, **columns: str) -> DataFrame:
     )
 
 
+def judged_representatives(df: DataFrame, **columns: str) -> DataFrame:
+    """The survivor that the model decides on, one row for each group of two or more strings: (group, row_id, string, count, truth).
+
+    string is the value of greatest posterior under the sources' fitted quality; ties go to the greater sum of count, then to the
+    first string. row_id is its best row.
+    """
+    values, entities, q = _fit(df, columns)
+    every = join_unique(values, entities.select("g", "covering", "strings"), ["g"], "strings")
+    every = every.withColumn("truth", F.round(q.posterior(F.col("feeds"), F.col("covering")), 6))
+    best = F.min_by(F.struct("id", "s", "weight", "truth"), F.struct(-F.col("truth"), -F.col("weight"), F.col("s"))).alias("best")
+    chosen = every.groupBy("g").agg(best)
+    return chosen.select(F.col("g").alias("group"), F.col("best.id").alias("row_id"), F.col("best.s").alias("string"), F.col("best.weight").alias("count"), "best.truth")
+
+
 def judged_values(df: DataFrame, **columns: str) -> DataFrame:
     """(group, string, count, truth): every value judged true of each entity of several values, one row each, and always the chosen one."""
     values, entities, q = _fit(df, columns)

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kinmark.llm import copies, lookalike, splits, survivor
+from kinmark.llm import copies, lookalike, queries, splits, survivor
 from kinmark.llm.linked import linked_strings
 
 DAY = dt.datetime(2024, 1, 1)
@@ -41,6 +41,24 @@ def test_em_tells_good_sources_from_bad(spark):
     assert q["good"]["sensitivity"] > q["bad"]["sensitivity"] and q["good"]["specificity"] > q["bad"]["specificity"]
 
 
+def test_found_survivors_do_not_fit_a_model(spark, monkeypatch, tmp_path):
+    rows = [(1, "A", 5, "g", "x", 0), (2, "A", 5, "g", "x", 0), (3, "B", 6, "g", "y", 1), (4, "T2", 1, "h", "x", 0), (5, "T1", None, "h", "y", 0), (6, "only", 3, "one", "x", 0)]
+    df = matcher(spark, rows)
+    df.write.parquet(f"{tmp_path}/matcher.parquet")
+    want = sorted((r["group"], r["row_id"]) for r in survivor.best_representatives(df).collect())
+    monkeypatch.setattr(survivor, "fit_quality", lambda patterns: 1 / 0)
+    assert sorted(map(tuple, queries.p1_found(spark, str(tmp_path)).collect())) == want == [("g", 3), ("h", 5)]
+
+
+def test_judged_survivors_follow_the_sources(spark):
+    rows = [(3 * g + i, f"true {g}" if feed != "bad" else f"false {g}", 9 if feed == "bad" else 1, f"g{g}", feed, 0) for g in range(60) for i, feed in enumerate(("good", "fair", "bad"))]
+    df = matcher(spark, rows)
+    assert {r["string"] for r in survivor.survivors(df).collect()} == {f"false {g}" for g in range(60)}
+    judged = survivor.judged_representatives(df).collect()
+    assert {(r["group"], r["string"], r["row_id"]) for r in judged} == {(f"g{g}", f"true {g}", 3 * g) for g in range(60)}
+    assert survivor.judged_representatives(matcher(spark, [])).count() == 0
+
+
 FORMS = [
     ("Ｈａｌｖｏ Ｒｅｔａｉｌ", "Halvo Retail"), ("Café Ltd", "Café Ltd"), ("A​B C", "AB C"), ("Сο", "Co"), ("Pаtricia Сo", "Patricia Co"), ("ﬁne", "fine"), ("Лощeфещеж Media", "Лощефещеж Media"),
     ("ООО Тасумеме", "ООО Тасумеме"), ("Εταιρεία Κατορα", "Εταιρεία Κατορα"), ("株式会社　ジヨ", "株式会社 ジヨ"), ("CAFÉ", "CAFÉ"), ("a\tb", "a\tb"), ("", ""),
