@@ -53,8 +53,9 @@ COMMON, HABIT, FEW_COMMON, FEW_HABIT = 2000, 5000, 5, 3
 SLIPS = 2
 #: N-grams of more than 1/RARE of the names have their own weight.
 RARE = 1000
-#: Cores that a task compares with as many others, pairs that it looks at at once, and letters of a core that a word of the machine holds.
-BLOCK, AT_ONCE, WORD = 1 << 14, 1 << 18, 64
+#: Cores that a task compares with as many others; pairs that it looks at at once, and in parts that stay in fast memory; letters
+#: of a core that a word of the machine holds.
+BLOCK, AT_ONCE, FAST, WORD = 1 << 15, 1 << 17, 1 << 12, 64
 #: Edits as a share of the longer core; average linkage that names need to be one cluster, and to go to a group.
 MAX_EDITS, CLUSTER, FLOOR = 0.3, 0.5, 0.05
 WIDE = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]"
@@ -364,64 +365,121 @@ def following(runs: list[str]) -> np.ndarray:
 
 
 class Runs(NamedTuple):
-    """Cores written without spaces in one order of words: letters modulo 32 by place, and by letter the bits of its places.
-    What is longer than a machine's word is cut off, so it can't be compared by these."""
+    """Cores written without spaces in one order of words: letters modulo 32 by place, by letter the bits of its places, and the
+    bits of letters that follow one another. Letters beyond a machine's word are cut off, so edits of longer ones can't be counted."""
 
     letters: np.ndarray
     places: np.ndarray
+    follow: np.ndarray
 
     @staticmethod
     def of(runs: list[str]) -> Runs:
         of = Letters.of([r[:WORD] for r in runs])
         place = np.arange(len(of.points)) - of.begin[of.row]
-        letters = np.zeros((len(runs), WORD), np.int64)
-        letters[of.row, place] = (of.points & np.uint64(31)).astype(np.int64)
-        places = np.zeros((len(runs), 32), np.uint64)
-        np.bitwise_or.at(places, (of.row, letters[of.row, place]), np.uint64(1) << place.astype(np.uint64))
-        return Runs(letters, places.ravel())
+        letters = np.zeros((int(place.max(initial=-1)) + 1, len(runs)), np.int64)
+        letters[place, of.row] = (of.points & np.uint64(31)).astype(np.int64)
+        places = np.zeros(32 * len(runs), np.uint64)
+        for i, letter in enumerate(letters):
+            has = np.flatnonzero(of.end - of.begin > i)
+            places[32 * has + letter[has]] |= np.uint64(1 << i)
+        return Runs(letters, places, following(runs))
 
     def edits(self, a: np.ndarray, n: int, other: Runs, b: np.ndarray, m: int) -> np.ndarray:
         """Levenshtein distances, letters modulo 32, of these cores at a, of n letters each, and the other's at b, of m: columns
         of the table of distances are differences in bits, all pairs at a time (Myers)."""
-        one, up, down = np.uint64(1), np.full(len(a), ~np.uint64(0)), np.zeros(len(a), np.uint64)
-        distance, last, base = np.full(len(a), m), np.uint64(m - 1), 32 * b
+        one, last, base = np.uint64(1), np.uint64(m - 1), 32 * b
+        up, down, distance = np.full(len(a), ~np.uint64(0)), np.zeros(len(a), np.uint64), np.full(len(a), m, np.uint64)
+        x, across, more, less = (np.empty(len(a), np.uint64) for _ in range(4))
         for i in range(n):
-            equal = other.places[base + self.letters[a, i]]
-            x = equal | down
-            across = (((equal & up) + up) ^ up) | equal
-            more, less = down | ~(across | up), up & across
-            distance += ((more >> last) & one).astype(np.int64) - ((less >> last) & one).astype(np.int64)
-            more, less = more << one | one, less << one
-            up, down = less | ~(x | more), more & x
+            equal = other.places.take(base + self.letters[i].take(a))
+            np.bitwise_or(equal, down, out=x)
+            np.bitwise_and(equal, up, out=across)
+            across += up
+            across ^= up
+            across |= equal
+            np.bitwise_or(across, up, out=more)
+            np.invert(more, out=more)
+            more |= down
+            np.bitwise_and(up, across, out=less)
+            distance += np.bitwise_and(np.right_shift(more, last, out=equal), one, out=equal)
+            distance -= np.bitwise_and(np.right_shift(less, last, out=equal), one, out=equal)
+            more <<= one
+            more |= one
+            less <<= one
+            np.bitwise_or(x, more, out=up)
+            np.invert(up, out=up)
+            up |= less
+            np.bitwise_and(more, x, out=down)
         return distance
 
 
+class Word(NamedTuple):
+    """The sketch of one word of each core, the number of its bits, and twice the letters by which its counterpart may differ."""
+
+    bits: np.ndarray
+    number: np.ndarray
+    limit: np.ndarray
+
+    @staticmethod
+    def of(words: list[str]) -> Word:
+        bits = sketch(words).to_numpy().view(np.uint64)
+        limit = np.fromiter((2 * max(SLIPS, len(w) // 4 + 1) for w in words), np.int16, len(words))
+        return Word(bits, np.bitwise_count(bits).astype(np.int16), limit)
+
+    def fits(self, i: np.ndarray, other: Word, j: np.ndarray) -> np.ndarray:
+        apart = np.bitwise_count(self.bits.take(i) ^ other.bits.take(j)) + np.abs(self.number.take(i) - other.number.take(j))
+        return apart <= np.maximum(self.limit.take(i), other.limit.take(j))
+
+
 def close_pairs(cores: list[str], asked: np.ndarray, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (q, f) of cores, q one of asked and f one of others, of all pairs that can pass the check by edits and of some more.
+    """Places (q, f) of cores, q one of asked and f one of others, of all pairs that can pass the checks by edits and of some more.
 
     Nothing that passes is left out: of two cores within k edits each has k letters at most that the other lacks, in any order of
-    words, and 2 k of those that follow one another in all orders while the other has them in none. Cores of the same letters but
-    two are always given. Where a core is too long for a machine's word its edits aren't counted here.
+    words, and 2 k of those that follow one another in all orders while the other has them in none. Of two cores of two words the
+    same goes for the words and what each is allowed, unless all letters are the same. Cores of the same letters but two need no
+    count of edits. Where a core is too long for a machine's word its edits aren't counted here.
     """
     runs = [[_run(c) for c in cores], [_turned(c) for c in cores], ["".join(sorted(c.split(" "))) for c in cores]]
     length = np.fromiter(map(len, runs[0]), np.int64, len(cores))
     bits = sketch(cores).to_numpy().view(np.uint64)
     number = np.bitwise_count(bits).astype(np.int8)
-    each = [following(r) for r in runs]
-    always, ever = each[0] & each[1] & each[2], each[0] | each[1] | each[2]
     plain, turned, ordered = (Runs.of(r) for r in runs)
+    always, ever = plain.follow & turned.follow & ordered.follow, plain.follow | turned.follow | ordered.follow
+    words = [c.split(" ") for c in cores]
+    two = np.fromiter((len(w) == 2 for w in words), bool, len(cores))
+    first, second = Word.of([w[0] for w in words]), Word.of([w[-1] for w in words])
     orders = [(plain, plain), (plain, turned), (turned, plain), (ordered, ordered)]
     held = {n: others[length[others] == n] for n in np.unique(length[others]).tolist()}
 
+    def lost(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(a.take(i, 0) & ~b.take(j, 0)).sum(1, dtype=np.uint16)
+
+    def by_word(q: np.ndarray, f: np.ndarray) -> np.ndarray:
+        fit = first.fits(q, first, f) & second.fits(q, second, f) | first.fits(q, second, f) & second.fits(q, first, f)
+        return fit | ~(two[q] & two[f])
+
+    def parts(places: np.ndarray) -> list[np.ndarray]:
+        return np.split(places, range(FAST, len(places), FAST))
+
     def counted(q: np.ndarray, f: np.ndarray, n: int, m: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        def follows(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, of: np.ndarray) -> np.ndarray:
+            """Those of the pairs of whose letters that follow one another few enough of a are not in b, and of c not in d."""
+            kept = []
+            for at in parts(of):
+                at = at[lost(a, q[at], b, f[at]) <= 2 * k]
+                kept.append(at[lost(c, f[at], d, q[at]) <= 2 * k])
+            return np.concatenate(kept)
+
+        near = follows(always, ever, always, ever, np.arange(len(q)))
         if max(n, m) > WORD:
-            return q, f
+            return q[near], f[near]
         few = np.zeros(len(q), bool)
         for a, b in orders:
-            rest = np.flatnonzero(~few)
-            few[rest] = a.edits(q[rest], n, b, f[rest], m) <= k
+            for at in parts(follows(a.follow, b.follow, b.follow, a.follow, near[~few[near]])):
+                few[at] = a.edits(q[at], n, b, f[at], m) <= k
         return q[few], f[few]
 
+    pairs, share = np.empty(max(AT_ONCE, len(others)), np.uint64), np.empty(max(AT_ONCE, len(others)), np.uint8)
     for n in np.unique(length[asked]).tolist():
         ask = asked[length[asked] == n]
         for m, of in held.items():
@@ -432,16 +490,21 @@ def close_pairs(cores: list[str], asked: np.ndarray, others: np.ndarray) -> Iter
             step = max(1, AT_ONCE // len(of))
             for begin in range(0, len(ask), step):
                 some = ask[begin : begin + step]
-                apart = np.bitwise_count(bits[some][:, None] ^ bits[of][None, :]).astype(np.int16)
-                apart += np.abs(number[some][:, None] - number[of][None, :])  # twice the letters that one has and the other lacks
-                q, f = np.divmod(np.flatnonzero(apart <= 2 * k), len(of))
-                same = apart[q, f] <= 2 * SLIPS
+                shape, size = (len(some), len(of)), len(some) * len(of)
+                differ = np.bitwise_xor(bits[some][:, None], bits[of][None, :], out=pairs[:size].reshape(shape))
+                apart = np.bitwise_count(differ, out=share[:size].reshape(shape))
+                apart += np.abs(number[some][:, None] - number[of][None, :]).view(np.uint8)  # twice the letters that one has and the other lacks
+                near = np.flatnonzero(apart <= 2 * k)
+                same = share[near]
+                q, f = np.divmod(near, len(of))
                 q, f = some[q], of[f]
-                yield q[same], f[same]
-                q, f = q[~same], f[~same]
-                lost = np.maximum(*(np.bitwise_count(always[a] & ~ever[b]).sum(1, dtype=np.int64) for a, b in ((q, f), (f, q))))
-                waiting.append((q[lost <= 2 * k], f[lost <= 2 * k]))
-                if sum(len(x) for x, _ in waiting) > AT_ONCE // 4 or begin + step >= len(ask):
+                fit = by_word(q, f) | (same == 0)
+                q, f, same = q[fit], f[fit], same[fit] <= 2 * SLIPS
+                if same.any():
+                    yield q[same], f[same]
+                    q, f = q[~same], f[~same]
+                waiting.append((q, f))
+                if sum(len(x) for x, _ in waiting) > AT_ONCE // 2 or begin + step >= len(ask):
                     yield counted(*map(np.concatenate, zip(*waiting, strict=True)), n, m, k)
                     waiting = []
 
