@@ -271,10 +271,9 @@ def sketch(cores: list[str]) -> pa.Array:
     """64 bits of the letters of each core, for each of 32 places one that says it is there and one that it is there twice. A slip
     changes two bits at most, and neither the order of letters nor that of words matters."""
     letters = Letters.of([_run(c) for c in cores])
-    times = np.bincount(letters.row * 32 + (letters.points & np.uint64(31)).astype(np.int64), minlength=32 * len(cores)).reshape(-1, 32)
-    bit = np.uint64(1) << np.arange(32, dtype=np.uint64)
-    ones, twos = ((times >= k).astype(np.uint64) @ bit for k in (1, 2))
-    return pa.array((ones | twos << np.uint64(32)).view(np.int64))
+    times = np.bincount(letters.row * 32 + (letters.points & np.uint64(31)).astype(np.int64), minlength=32 * len(cores)).reshape(-1, 1, 32)
+    bits = np.packbits(times >= np.array([[1], [2]]), axis=2, bitorder="little")
+    return pa.array(bits.reshape(-1, 8).view(np.int64).ravel())
 
 
 def gram_hashes(cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -376,12 +375,11 @@ class Runs(NamedTuple):
     def of(runs: list[str]) -> Runs:
         of = Letters.of([r[:WORD] for r in runs])
         place = np.arange(len(of.points)) - of.begin[of.row]
+        letter = (of.points & np.uint64(31)).astype(np.int64)
         letters = np.zeros((int(place.max(initial=-1)) + 1, len(runs)), np.int64)
-        letters[place, of.row] = (of.points & np.uint64(31)).astype(np.int64)
+        letters[place, of.row] = letter
         places = np.zeros(32 * len(runs), np.uint64)
-        for i, letter in enumerate(letters):
-            has = np.flatnonzero(of.end - of.begin > i)
-            places[32 * has + letter[has]] |= np.uint64(1 << i)
+        np.add.at(places, 32 * of.row + letter, np.uint64(1) << place.astype(np.uint64))  # no bit twice
         return Runs(letters, places, following(runs))
 
     def edits(self, a: np.ndarray, n: int, other: Runs, b: np.ndarray, m: int) -> np.ndarray:
@@ -414,21 +412,21 @@ class Runs(NamedTuple):
 
 
 class Word(NamedTuple):
-    """The sketch of one word of each core, the number of its bits, and twice the letters by which its counterpart may differ."""
+    """The sketch of one word of each core, and how many letters it may have that its counterpart lacks."""
 
     bits: np.ndarray
-    number: np.ndarray
     limit: np.ndarray
 
     @staticmethod
     def of(words: list[str]) -> Word:
-        bits = sketch(words).to_numpy().view(np.uint64)
-        limit = np.fromiter((2 * max(SLIPS, len(w) // 4 + 1) for w in words), np.int16, len(words))
-        return Word(bits, np.bitwise_count(bits).astype(np.int16), limit)
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        return Word(sketch(words).to_numpy().view(np.uint64), np.clip(length // 4 + 1, SLIPS, 64).astype(np.uint8))
 
     def fits(self, i: np.ndarray, other: Word, j: np.ndarray) -> np.ndarray:
-        apart = np.bitwise_count(self.bits.take(i) ^ other.bits.take(j)) + np.abs(self.number.take(i) - other.number.take(j))
-        return apart <= np.maximum(self.limit.take(i), other.limit.take(j))
+        a, b = self.bits.take(i), other.bits.take(j)
+        differ = a ^ b
+        lacks = np.maximum(np.bitwise_count(np.bitwise_and(a, differ, out=a)), np.bitwise_count(np.bitwise_and(b, differ, out=b)))
+        return lacks <= np.maximum(self.limit.take(i), other.limit.take(j))
 
 
 def close_pairs(cores: list[str], asked: np.ndarray, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -439,24 +437,34 @@ def close_pairs(cores: list[str], asked: np.ndarray, others: np.ndarray) -> Iter
     same goes for the words and what each is allowed, unless all letters are the same. Cores of the same letters but two need no
     count of edits. Where a core is too long for a machine's word its edits aren't counted here.
     """
-    runs = [[_run(c) for c in cores], [_turned(c) for c in cores], ["".join(sorted(c.split(" "))) for c in cores]]
+    words = [c.split(" ") for c in cores]
+    runs = [["".join(w) for w in words], ["".join(w[::-1]) for w in words], ["".join(sorted(w)) for w in words]]
     length = np.fromiter(map(len, runs[0]), np.int64, len(cores))
     bits = sketch(cores).to_numpy().view(np.uint64)
-    number = np.bitwise_count(bits).astype(np.int8)
+    number = np.bitwise_count(bits).astype(np.int64)
     plain, turned, ordered = (Runs.of(r) for r in runs)
     always, ever = plain.follow & turned.follow & ordered.follow, plain.follow | turned.follow | ordered.follow
-    words = [c.split(" ") for c in cores]
     two = np.fromiter((len(w) == 2 for w in words), bool, len(cores))
     first, second = Word.of([w[0] for w in words]), Word.of([w[-1] for w in words])
-    orders = [(plain, plain), (plain, turned), (turned, plain), (ordered, ordered)]
-    held = {n: others[length[others] == n] for n in np.unique(length[others]).tolist()}
+    in_order, in_turn, either = (np.fromiter(map(str.__eq__, runs[i], runs[j]), bool, len(cores)) for i, j in ((2, 0), (2, 1), (0, 1)))
+    # with where the runs are those of an order before
+    orders = [
+        (plain, plain, lambda q, f: np.zeros(len(q), bool)),
+        (plain, turned, lambda q, f: either[f]),
+        (turned, plain, lambda q, f: either[q]),
+        (ordered, ordered, lambda q, f: in_order[q] & (in_order[f] | in_turn[f]) | in_turn[q] & in_order[f]),
+    ]
 
     def lost(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
         return np.bitwise_count(a.take(i, 0) & ~b.take(j, 0)).sum(1, dtype=np.uint16)
 
     def by_word(q: np.ndarray, f: np.ndarray) -> np.ndarray:
-        fit = first.fits(q, first, f) & second.fits(q, second, f) | first.fits(q, second, f) & second.fits(q, first, f)
-        return fit | ~(two[q] & two[f])
+        fit = ~(two.take(q) & two.take(f))
+        for a, b in ((first, second), (second, first)):
+            at = np.flatnonzero(~fit)
+            at = at[first.fits(q[at], a, f[at])]
+            fit[at[second.fits(q[at], b, f[at])]] = True
+        return fit
 
     def parts(places: np.ndarray) -> list[np.ndarray]:
         return np.split(places, range(FAST, len(places), FAST))
@@ -474,39 +482,75 @@ def close_pairs(cores: list[str], asked: np.ndarray, others: np.ndarray) -> Iter
         if max(n, m) > WORD:
             return q[near], f[near]
         few = np.zeros(len(q), bool)
-        for a, b in orders:
-            for at in parts(follows(a.follow, b.follow, b.follow, a.follow, near[~few[near]])):
+        for a, b, again in orders:
+            left = near[~few[near]]
+            left = left[~again(q[left], f[left])]
+            for at in parts(follows(a.follow, b.follow, b.follow, a.follow, left)):
                 few[at] = a.edits(q[at], n, b, f[at], m) <= k
         return q[few], f[few]
 
-    pairs, share = np.empty(max(AT_ONCE, len(others)), np.uint64), np.empty(max(AT_ONCE, len(others)), np.uint8)
+    room = max(AT_ONCE, len(others))
+    pairs, share, low = np.empty(room, np.uint64), np.empty(room, np.uint8), np.empty(room, bool)
+
+    def alike(ask: np.ndarray, of: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Pairs of which neither has more than k letters that the other lacks, and twice the most that one lacks."""
+        waiting: list[tuple[np.ndarray, ...]] = []
+        there, step, count = bits[of], max(1, AT_ONCE // len(of)), 0
+        for ones in np.unique(number[ask]).tolist():
+            same = ask[number[ask] == ones]
+            more = np.abs(number[of] - ones).astype(np.uint8)
+            beyond = np.maximum(2 * k + 1 - more.astype(np.int64), 0).astype(np.uint8)
+            for begin in range(0, len(same), step):
+                some = same[begin : begin + step]
+                shape, size = (len(some), len(of)), len(some) * len(of)
+                differ, apart, near = (x[:size].reshape(shape) for x in (pairs, share, low))
+                np.bitwise_xor(bits[some][:, None], there, out=differ)
+                np.less(np.bitwise_count(differ, out=apart), beyond, out=near)
+                at = np.flatnonzero(near)
+                q, f = np.divmod(at, len(of))
+                waiting.append((some[q], of[f], share[at] + more[f]))
+                count += len(at)
+                if count > AT_ONCE // 2:
+                    yield tuple(map(np.concatenate, zip(*waiting, strict=True)))
+                    waiting, count = [], 0
+        if count:
+            yield tuple(map(np.concatenate, zip(*waiting, strict=True)))
+
+    held = {n: others[length[others] == n] for n in np.unique(length[others]).tolist()}
     for n in np.unique(length[asked]).tolist():
         ask = asked[length[asked] == n]
         for m, of in held.items():
             k = most_edits(max(n, m))
             if abs(n - m) > k:
                 continue
-            waiting: list[tuple[np.ndarray, np.ndarray]] = []
-            step = max(1, AT_ONCE // len(of))
-            for begin in range(0, len(ask), step):
-                some = ask[begin : begin + step]
-                shape, size = (len(some), len(of)), len(some) * len(of)
-                differ = np.bitwise_xor(bits[some][:, None], bits[of][None, :], out=pairs[:size].reshape(shape))
-                apart = np.bitwise_count(differ, out=share[:size].reshape(shape))
-                apart += np.abs(number[some][:, None] - number[of][None, :]).view(np.uint8)  # twice the letters that one has and the other lacks
-                near = np.flatnonzero(apart <= 2 * k)
-                same = share[near]
-                q, f = np.divmod(near, len(of))
-                q, f = some[q], of[f]
-                fit = by_word(q, f) | (same == 0)
-                q, f, same = q[fit], f[fit], same[fit] <= 2 * SLIPS
-                if same.any():
-                    yield q[same], f[same]
-                    q, f = q[~same], f[~same]
-                waiting.append((q, f))
-                if sum(len(x) for x, _ in waiting) > AT_ONCE // 2 or begin + step >= len(ask):
-                    yield counted(*map(np.concatenate, zip(*waiting, strict=True)), n, m, k)
-                    waiting = []
+            for q, f, apart in alike(ask, of, k):
+                fit = by_word(q, f) | (apart == 0)
+                q, f, same = q[fit], f[fit], apart[fit] <= 2 * SLIPS
+                yield q[same], f[same]
+                yield counted(q[~same], f[~same], n, m, k)
+
+
+class Copies(NamedTuple):
+    """The rows of some points by the code of their core: rows of one core follow one another, number of them from begin on."""
+
+    rows: np.ndarray
+    number: np.ndarray
+    begin: np.ndarray
+
+    @staticmethod
+    def of(rows: np.ndarray, code: np.ndarray, codes: int) -> Copies:
+        number = np.bincount(code[rows], minlength=codes)
+        return Copies(rows[np.argsort(code[rows], kind="stable")], number, np.cumsum(number) - number)
+
+    def products(self, q: np.ndarray, other: Copies, f: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The rows of each two cores, all with all, so many at a time."""
+        times = self.number[q] * other.number[f]
+        ends = np.cumsum(times)
+        for begin in range(0, int(times.sum()), AT_ONCE):
+            flat = np.arange(begin, min(begin + AT_ONCE, int(ends[-1])))
+            pair = np.searchsorted(ends, flat, side="right")
+            x, y = np.divmod(flat - (ends - times)[pair], other.number[f[pair]])
+            yield self.rows[self.begin[q[pair]] + x], other.rows[other.begin[f[pair]] + y]
 
 
 def met_pairs(points: DataFrame, scratch: Scratch) -> DataFrame:
@@ -526,9 +570,13 @@ def met_pairs(points: DataFrame, scratch: Scratch) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = pa.Table.from_batches(batches)
         ids, ask = group.column("id").to_numpy(), group.column("ask").to_numpy()
-        for q, f in close_pairs(group.column("core").to_pylist(), np.flatnonzero(ask), np.flatnonzero(~ask)):
-            differ = ids[q] != ids[f]  # what is asked is one of the others as well
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q[differ]]), pa.array(ids[f[differ]])], names=["q", "f"])
+        core = pa.concat_arrays(group.column("core").chunks).dictionary_encode()  # what is asked is one of the others as well
+        code, codes = core.indices.to_numpy().astype(np.int64), len(core.dictionary)
+        asked, others = (Copies.of(np.flatnonzero(of), code, codes) for of in (ask, ~ask))
+        for pairs in close_pairs(core.dictionary.to_pylist(), *(np.flatnonzero(of.number) for of in (asked, others))):
+            for q, f in asked.products(pairs[0], others, pairs[1]):
+                differ = ids[q] != ids[f]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q[differ]]), pa.array(ids[f[differ]])], names=["q", "f"])
 
     return held.unionByName(asked).groupBy("kind", "x", "y").applyInArrow(meet, "q long, f long")
 

@@ -165,6 +165,30 @@ def test_no_pair_within_the_edits_is_left_out(words, letters):
     assert len(want) > len(cores) and want <= set(got)
 
 
+def test_no_edits_are_counted_twice(monkeypatch):
+    cores = list(dict.fromkeys(variant_cores(8, 1, 12, 25) + variant_cores(9, 2, 6, 25)))
+    counted, edits = [], variants.Runs.edits
+
+    def count(self, a, n, other, b, m):
+        side = lambda runs, i, size: "".join(chr(x) for x in runs.letters[:size, i])
+        counted.extend((x, side(self, x, n), y, side(other, y, m)) for x, y in zip(a.tolist(), b.tolist(), strict=True))
+        return edits(self, a, n, other, b, m)
+
+    monkeypatch.setattr(variants.Runs, "edits", count)
+    places = np.arange(len(cores))
+    assert sum(len(q) for q, _ in variants.close_pairs(cores, places, places)) > len(cores)
+    assert len(counted) == len(set(counted)) > len(cores)
+
+
+def test_rows_of_one_core_meet_all_of_another(monkeypatch):
+    monkeypatch.setattr(variants, "AT_ONCE", 4)
+    code = np.array([1, 0, 1, 2, 1, 0])
+    asked, others = (variants.Copies.of(np.array(rows), code, 3) for rows in ([0, 2, 3], [1, 3, 4, 5]))
+    got = [p for q, f in asked.products(np.array([1, 2, 1]), others, np.array([0, 2, 1])) for p in zip(q.tolist(), f.tolist(), strict=True)]
+    assert got == [(0, 1), (0, 5), (2, 1), (2, 5), (3, 3), (0, 4), (2, 4)]
+    assert not [*asked.products(code[:0], others, code[:0])]
+
+
 def test_near_pairs_are_those_of_all_blocks(spark, monkeypatch):
     monkeypatch.setattr(variants, "BLOCK", 7)
     cores = variant_cores(5, 1, 12, 5) + variant_cores(6, 2, 6, 10) + variant_cores(7, 3, 4, 5)
