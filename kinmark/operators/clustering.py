@@ -17,7 +17,7 @@ from ..functions.text import augmented
 from ..plans.storage import Scratch
 from .components import components
 from .groups import relabel, split, split_all, unite_partition, unite_sets
-from .vectors import nearest_target, similar_pairs
+from .vectors import joining_pairs, nearest_target, similar_pairs
 
 #: Pairs of a component that one task decides.
 COMPONENT = 200_000
@@ -122,25 +122,25 @@ def agglomerate_rounds(nodes: DataFrame, edges: DataFrame, group_cos: float | No
 
 
 def unite_similar(
-    vectors: DataFrame, threshold: float = 0.5, alpha: float = 50.0, group_threshold: float | None = None, always: DataFrame | None = None, never: DataFrame | None = None, conflicts: str = "warn"
+    vectors: DataFrame, threshold: float = 0.5, alpha: float = 50.0, group_threshold: float | None = None, always: DataFrame | None = None, never: DataFrame | None = None, conflicts: str = "warn", unit: bool = False
 ) -> DataFrame:
     """A partition of the vectors' strings by similarity score.
 
     Without group_threshold and never, groups are the components of all pairs of at least the threshold and of the always-sets.
     With them pairs are united from the most similar on (ties by strings), unless a never-set has members on both sides, or the
     merged group would have three or more strings and any cosine across is below group_threshold; always-sets are united last and
-    win. vectors is (string, count, v).
+    win. vectors is (string, count, v); unit: they aren't at length one yet, here they are taken so.
     """
     strings = vectors.select("string", "count", F.col("string").alias("group"))
     if not group_threshold and never is None:
-        pairs = similar_pairs(vectors, score_to_cos(threshold, alpha)).select("string0", "string1")
+        pairs = joining_pairs(vectors, score_to_cos(threshold, alpha), unit)
         if always is not None:
             first = _sets(always).join(strings.select("string"), "string", "left_semi")
             first = first.join(first.groupBy("set_id").agg(F.min("string").alias("first")), "set_id")
             pairs = pairs.unionByName(first.select(F.col("first").alias("string0"), F.col("string").alias("string1")))
         roots = components(pairs, "string0", "string1").select(F.col("member").alias("string"), "root")
         return relabel(strings.join(roots, "string", "left").select("string", "count", F.coalesce("root", "string").alias("group")))
-    log = united_pairs(vectors, threshold, alpha, group_threshold, always, never, conflicts)
+    log = united_pairs(vectors.withColumn("v", l2_normalize(F.col("v"))) if unit else vectors, threshold, alpha, group_threshold, always, never, conflicts)
     roots = components(log, "i", "j").select(F.col("member").alias("string"), "root")
     found = relabel(strings.join(roots, "string", "left").select("string", "count", F.coalesce("root", "string").alias("group")))
     return found if always is None else unite_sets(found, _sets(always))

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -17,6 +19,10 @@ from ..plans.storage import Scratch
 from .groups import listed
 
 BLOCK = 2048
+#: Vectors of a packed block, directions that sort them, and rows that are compared at once.
+ROWS, CELLS, SLICE, STEP = 8192, 1024, 1024, 256
+#: Products of single precision decide above this distance only; what is nearer is decided in double.
+SLACK = 1e-5
 
 
 def unit_vectors(df: DataFrame, string_column: str, vector_column: str, count_column: str | None = None) -> DataFrame:
@@ -55,32 +61,156 @@ def _blocks(n: int) -> int:
     return max(1, -(-n // BLOCK))
 
 
-def similar_pairs(vectors: DataFrame, min_cos: float) -> DataFrame:
+def _units(rows: np.ndarray) -> np.ndarray:
+    rows = rows.astype(np.float64)
+    return rows / np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
+
+
+def _heads(u: np.ndarray, min_cos: float) -> np.ndarray:
+    """Of each row the place of its head: a row of at least min_cos to it, or itself."""
+    head = np.arange(len(u))
+    for start in range(0, len(u), SLICE):
+        near = u[start : start + SLICE] @ u[start : start + SLICE].T >= min_cos
+        free = np.ones(len(near), bool)
+        for r in range(len(near)):
+            if free[r]:
+                free[r] = False
+                mine = near[r] & free
+                head[start : start + SLICE][mine] = start + r
+                free &= ~mine
+    return head
+
+
+def _packed(vectors: DataFrame, min_cos: float, unit: bool) -> DataFrame:
+    """(block, strings, v, at, wide): up to ROWS vectors in one row, their numbers as bytes, sorted by heads; at is where each
+    head stands, its rows after it, and wide the angle that these keep within.
+
+    The nearest of CELLS random directions sorts the vectors first, so that like ones come into one block more often than not;
+    which do decides the time that is taken, never the pairs.
+    """
+    kind = np.float32 if vectors.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
+    number = "float" if kind == np.float32 else "double"
+
+    def raw(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(batch.num_rows, -1)
+
+    def celled(batches):
+        directions = None
+        for b in batches:
+            if b.num_rows:
+                rows = raw(b)
+                if directions is None:
+                    directions = np.random.default_rng(17).standard_normal((rows.shape[1], CELLS)).astype(np.float32)
+                    directions /= np.linalg.norm(directions, axis=0)
+                cell = np.concatenate([(_units(rows[k : k + SLICE]).astype(np.float32) @ directions).argmax(1) for k in range(0, len(rows), SLICE)])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32))], names=["string", "v", "cell"])
+
+    def block(held: list[tuple[pa.Array, np.ndarray]], k: int) -> pa.RecordBatch:
+        strings, rows = pa.concat_arrays([s for s, _ in held]), np.concatenate([r for _, r in held])
+        u = _units(rows) if unit else rows.astype(np.float64)
+        head = _heads(u, min_cos)
+        order = np.lexsort([head != np.arange(len(head)), head])
+        at = np.flatnonzero(head[order] == order)
+        angle = np.arccos(np.clip(np.einsum("ij,ij->i", u[order], u[head[order]]), -1, 1))
+        angle[at] = 0
+        wide = np.maximum.reduceat(angle, at)
+        place = TaskContext.get().partitionId() << 32 | k
+        return pa.RecordBatch.from_arrays(
+            [pa.array([place], pa.int64()), pa.array([strings.take(pa.array(order))], pa.list_(pa.string())), pa.array([rows[order].tobytes()], pa.binary()), pa.array([at], pa.list_(pa.int32())), pa.array([wide], pa.list_(pa.float64()))],
+            names=["block", "strings", "v", "at", "wide"],
+        )
+
+    def pack(batches):
+        held, n, k = [], 0, 0
+        for b in batches:
+            start = 0
+            while start < b.num_rows:
+                part = b.slice(start, ROWS - n)
+                held.append((part.column(0), raw(part)))
+                start, n = start + part.num_rows, n + part.num_rows
+                if n == ROWS:
+                    yield block(held, k)
+                    held, n, k = [], 0, k + 1
+        if n:
+            yield block(held, k)
+
+    rows = vectors.select(F.col("string").cast("string").alias("string"), "v").mapInArrow(celled, f"string string, v array<{number}>, cell int")
+    rows = rows.repartition("cell").sortWithinPartitions("cell").select("string", "v")
+    return rows.mapInArrow(pack, "block long, strings array<string>, v binary, at array<int>, wide array<double>")
+
+
+def _meetings(vectors: DataFrame, min_cos: float, unit: bool, heads: bool) -> DataFrame:
+    """(string0, string1, cos) of all pairs with at least that cosine; heads: instead pairs of
+    heads with such rows, and of a row and its head, which join the same strings, directly or over others."""
+    kind = np.float32 if vectors.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
+    packed = Scratch(vectors.sparkSession).write(_packed(vectors, min_cos, unit))
+    far = float(np.arccos(np.clip(min_cos, -1, 1)))
+
+    def side(b: pa.RecordBatch, k: int, r: int) -> tuple:
+        strings, v, at, wide = (b.column(k + c) for c in range(4))
+        strings, at = strings[r].values, at[r].values.to_numpy()
+        rows = np.frombuffer(v[r].as_buffer(), kind).reshape(len(strings), -1)
+        u = _units(rows) if unit else rows.astype(np.float64)
+        return strings, u, u.astype(np.float32), at, np.append(at[1:], len(u)), wide[r].values.to_numpy()
+
+    def found(x: pa.Array, y: pa.Array, cos: np.ndarray) -> pa.RecordBatch:
+        less = pc.less(x, y)
+        return pa.RecordBatch.from_arrays([pc.if_else(less, x, y), pc.if_else(less, y, x), pa.array(cos, pa.float64())], names=["string0", "string1", "cos"]).filter(pc.not_equal(x, y))
+
+    def near(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                one = b.column(0)[r].as_py() == b.column(5)[r].as_py()
+                s, u, f, at, to, wide = side(b, 1, r)
+                t, w, g, at_t, to_t, wide_t = side(b, 6, r) if not one else (s, u, f, at, to, wide)
+                group, group_t = np.repeat(np.arange(len(at)), to - at), np.repeat(np.arange(len(at_t)), to_t - at_t)
+                if one and heads:
+                    rest = np.setdiff1d(np.arange(len(u)), at)
+                    yield found(s.take(pa.array(rest)), s.take(pa.array(at[group[rest]])), np.einsum("ij,ij->i", u[rest], u[at[group[rest]]]))
+                # two rows of at least min_cos have heads within far and both their widths: cos(a + b) as two more numbers of the product
+                mine = np.column_stack([f[at], -np.cos(far + wide), np.sin(far + wide)]).astype(np.float32)
+                theirs = np.column_stack([g[at_t], np.cos(wide_t), np.sin(wide_t)]).astype(np.float32)
+                all_ = far + wide + wide_t.max() >= np.pi
+                a = 0
+                while a < len(at):
+                    z = max(a + 1, int(np.searchsorted(to, at[a] + STEP, "right")))
+                    hit = np.flatnonzero(((mine[a:z] @ theirs.T >= -SLACK) | all_[a:z, None]).any(0))
+                    q = np.flatnonzero(np.isin(group_t, hit))
+                    q = q[q > at[a]] if one else q
+                    i, j = np.nonzero(f[at[a] : to[z - 1]] @ g[q].T >= min_cos - SLACK)
+                    i, j = i + at[a], q[j]
+                    keep = (i < j) if one else np.ones(len(i), bool)
+                    if heads and one:
+                        keep &= group[i] != group[j]
+                    i, j = i[keep], j[keep]
+                    cos = np.einsum("ij,ij->i", u[i], w[j])
+                    i, j, cos = i[cos >= min_cos], j[cos >= min_cos], cos[cos >= min_cos]
+                    if heads and len(i):
+                        first = np.unique(group[i] * len(at_t) + group_t[j], return_index=True)[1]
+                        i, j, cos = at[group[i[first]]], at_t[group_t[j[first]]], cos[first]
+                    if len(i):
+                        yield found(s.take(pa.array(i)), t.take(pa.array(j)), cos)
+                    a = z
+
+    other = packed.select(*(F.col(c).alias(f"{c}_") for c in packed.columns)).hint("shuffle_replicate_nl")
+    return packed.join(other, F.col("block") <= F.col("block_")).mapInArrow(near, "string0 string, string1 string, cos double")
+
+
+def similar_pairs(vectors: DataFrame, min_cos: float, unit: bool = False) -> DataFrame:
     """(string0, string1, cos), string0 < string1: every pair with at least that cosine. Exact.
 
-    Rows are spread over blocks by hash and blocks are paired, each pair of blocks one task of two bounded matrices; a row goes
-    to as many tasks as there are blocks. That is the price of exactness; nothing is broadcast and no block grows with the data.
+    Vectors are packed into blocks, a row each, and each two blocks are one product of two bounded matrices. Tasks read the
+    blocks from the shared folder, so disk holds each vector once; nothing is broadcast and no block grows with the data. In a
+    block, vectors of at least min_cos to one of them stand under it as their head; rows are compared where the angles of their
+    heads leave it open. unit: vectors aren't at length one yet, here they are taken so.
     """
-    vectors = Scratch(vectors.sparkSession).write(vectors.select("string", "v"))  # made once, for the count as well
-    n = _blocks(vectors.count())
-    rows = vectors.select("string", "v", F.pmod(F.xxhash64("string"), F.lit(n)).cast("int").alias("b"))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(F.least(F.col("b"), j).alias("i"), F.greatest(F.col("b"), j).alias("j")))
-    rows = rows.select("string", "v", "b", F.explode(grid).alias("g")).select("string", "v", "b", "g.i", "g.j")
+    return _meetings(vectors, min_cos, unit, False)
 
-    def near(group: pa.Table) -> pa.Table:
-        s, b, i = np.array(group.column("string").to_pylist(), dtype=object), group.column("b").to_numpy(), group.column("i")[0].as_py()
-        u = _matrix(group.column("v"))
-        one = b == i
-        two = one if (b == i).all() and group.column("j")[0].as_py() == i else ~one
-        p, q = np.nonzero(u[one] @ u[two].T >= min_cos)
-        x, y = s[one][p], s[two][q]
-        cos = np.einsum("ij,ij->i", u[one][p], u[two][q]) if len(p) else np.array([])
-        keep = np.array([f < t for f, t in zip(x, y, strict=True)], bool) if two is one else np.ones(len(x), bool)
-        first = [min(f, t) for f, t in zip(x[keep], y[keep], strict=True)]
-        second = [max(f, t) for f, t in zip(x[keep], y[keep], strict=True)]
-        return pa.table({"string0": pa.array(first, pa.string()), "string1": pa.array(second, pa.string()), "cos": pa.array(cos[keep], pa.float64())})
-
-    return rows.groupBy("i", "j").applyInArrow(near, "string0 string, string1 string, cos double")
+
+def joining_pairs(vectors: DataFrame, min_cos: float, unit: bool = False) -> DataFrame:
+    """(string0, string1): pairs that join the same strings, directly or over others, as those of similar_pairs, and are fewer.
+    Heads of which any rows are near enough make a pair here, near enough themselves or not."""
+    return _meetings(vectors, min_cos, unit, True).select("string0", "string1")
 
 
 def nearest_target(vectors: DataFrame, targets: DataFrame, min_cos: float | None = None) -> DataFrame:

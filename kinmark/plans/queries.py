@@ -558,11 +558,16 @@ STORED_SQL = f"""SELECT string, n, list_transform(v, lambda x: x / sqrt(list_inn
 CLOSE = 0.9
 
 
-def stored(spark: SparkSession, d: str) -> DataFrame:
-    """(string, count, v) of the stored vectors: the first usable one of each string, at length one."""
+def stored_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(string, count, v) of the stored vectors: the first usable one of each string, as it is stored."""
     rows = table(spark, d, "stored_vectors").where((F.size("v") == 64) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
     first = rows.groupBy("string").agg(F.min_by(F.struct("v", F.greatest(F.coalesce("count", F.lit(1)), F.lit(1)).alias("n")), "vec_id").alias("b"))
-    return vectors.unit_vectors(first.select("string", "b.v", "b.n"), "string", "v", "n")
+    return first.select("string", F.col("b.n").alias("count"), "b.v").where("string is not null")
+
+
+def stored(spark: SparkSession, d: str) -> DataFrame:
+    """The same at length one."""
+    return vectors.unit_vectors(stored_rows(spark, d), "string", "v", "count")
 
 
 def near(limit: str, u: str = STORED_SQL) -> str:
@@ -571,12 +576,12 @@ def near(limit: str, u: str = STORED_SQL) -> str:
 
 @query(f"SELECT string0, string1, round(cos, 6) AS cos FROM ({near(repr(CLOSE))})")
 def stored_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(vectors.similar_pairs(stored(spark, d), CLOSE), "cos")
+    return rounded(vectors.similar_pairs(stored_rows(spark, d), CLOSE, unit=True), "cos")
 
 
 @query(labels(f"SELECT string, n, coalesce(root, string) AS g FROM ({STORED_SQL}) LEFT JOIN {reach(f'SELECT string0 AS a, string1 AS b FROM ({near(repr(CLOSE))})')} ON a = string", "g"))
 def stored_unite_similar(spark: SparkSession, d: str) -> DataFrame:
-    return clustering.unite_similar(stored(spark, d), 1 / math.e, 1 / (1 - CLOSE))
+    return clustering.unite_similar(stored_rows(spark, d), 1 / math.e, 1 / (1 - CLOSE), unit=True)
 
 
 @query(f"""WITH u AS ({STORED_SQL}) SELECT pair_id, string0, string1, round(list_inner_product(a.u, b.u), 6) AS cos, round(least(1, exp(-{ALPHA} * (1 - list_inner_product(a.u, b.u)))), 6) AS score
